@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser_ney, mixing, simhash
-from .common import table
+from . import decontam, kneser_ney, mixing, simhash, toxicity
+from .common import crc_bucket, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(toxicity.examples_of(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, index)
+    return scored.select(F.col("id").alias("doc_id"), (crc_bucket("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex16("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -33,6 +40,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_decontamination": op10_decontamination,
 }
