@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser_ney, mixing, simhash, toxicity
+from . import chat, decontam, kneser_ney, mixing, sharding, simhash, toxicity
 from .common import crc_bucket, table
 
 
@@ -19,6 +20,16 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(1).select(F.lit(chat.PLANTED["conv_id"]).alias("conv_id"), F.lit(json.dumps(chat.PLANTED)).alias("record"))
+    chats = chat.from_rows(table(spark, sf_dir, "conversations")).unionByName(chat.from_json(planted, "conv_id", "record"))
+    return chat.digests(chat.format_turns(chats)).withColumnRenamed("id", "conv_id")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(toxicity.examples_of(docs, table(spark, sf_dir, "labels")))
@@ -40,9 +51,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_sharding": op4_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_formatting": chat.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
+}
