@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, kneser_ney, mixing, quality, sharding, simhash, toxicity
+from . import chat, decontam, kneser_ney, langid, mixing, quality, sharding, simhash, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -30,6 +30,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(toxicity.examples_of(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
