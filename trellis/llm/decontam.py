@@ -213,12 +213,14 @@ def digest(items: list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.8, length_col: str = "n_chars") -> DataFrame:
     """The documents without benchmark passages: every hit span is cut out, until none is
     left, and a document goes whole where hits cover over max_coverage of its words.
-    Columns are kept; documents without a hit are unchanged, byte for byte."""
+    Columns are kept, and length_col, where there is one, follows the text; documents
+    without a hit are unchanged, byte for byte."""
     shared = slices(benchmark, item_id, item_text, window)
     at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def clean(text: bytes) -> bytes | None:
         while True:
@@ -247,6 +249,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
                 for r, text in new.items():
                     texts[r] = None if text is None else text.decode()
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, col.type))
+                if length_at is not None:
+                    lengths = batch.column(length_at).to_pylist()
+                    for r, text in new.items():
+                        lengths[r] = len(texts[r]) if text is not None else None
+                    batch = batch.set_column(length_at, batch.schema.field(length_at), pa.array(lengths, batch.column(length_at).type))
                 gone = np.ones(batch.num_rows, bool)
                 gone[[r for r, text in new.items() if text is None]] = False
                 batch = batch.filter(pa.array(gone))
