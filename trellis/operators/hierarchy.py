@@ -190,6 +190,18 @@ def split_group(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeCo
     return threshold, [sorted(g) for g in children]
 
 
+def _splitter(cfg: TreeConfig, depth: int):
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None))
+        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
+        t = pdf["threshold"].iloc[0]
+        at, children = split_group(ids, rows, cfg, depth, None if pd.isna(t) else float(t))
+        g = pdf["ga"].iloc[0]
+        return pd.DataFrame([(x, f"{g}.{k}", g, at) for k, child in enumerate(children) for x in child], columns=["id", "category", "parent", "threshold"])
+
+    return split
+
+
 def adaptive_tree(nodes: DataFrame, edges: DataFrame, cfg: TreeConfig) -> DataFrame:
     """(category, parent, depth, id): for each level the category that holds each node. A round splits all
     groups of a level, each in one call with its inner edges; edges between groups are dropped, so
@@ -200,15 +212,7 @@ def adaptive_tree(nodes: DataFrame, edges: DataFrame, cfg: TreeConfig) -> DataFr
     for depth in range(cfg.max_depth):
         inside = e.join(member.select(c("id").alias("a"), c("category").alias("ga"), "threshold"), "a").join(member.select(c("id").alias("b"), c("category").alias("gb")), "b").where("ga = gb")
 
-        def split(pdf: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            rows = list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None))
-            ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-            t = pdf["threshold"].iloc[0]
-            at, children = split_group(ids, rows, cfg, depth, None if pd.isna(t) else float(t))
-            g = pdf["ga"].iloc[0]
-            return pd.DataFrame([(x, f"{g}.{k}", g, at) for k, child in enumerate(children) for x in child], columns=["id", "category", "parent", "threshold"])
-
-        found = cut(inside.groupBy("ga").applyInPandas(split, "id string, category string, parent string, threshold double"))
+        found = cut(inside.groupBy("ga").applyInPandas(_splitter(cfg, depth), "id string, category string, parent string, threshold double"))
         if found.isEmpty():
             break
         levels.append(found.select("category", "parent", F.lit(depth + 1).alias("depth"), "id"))
