@@ -197,9 +197,12 @@ def vectors(found: W.Words, n: int, terms: W.HashSet, idf: np.ndarray) -> list[d
 def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """An index of labelled texts (id, text, toxic)."""
     usable = examples.where("id is not null and toxic is not null")
-    order = (F.xxhash64("id"), F.col("id"), F.col("text"))
-    sample = usable.orderBy(*order).limit(max_examples)  # top-k: no task holds more
-    sample = cut(sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")))
+    n = usable.count()
+    if n > max_examples:
+        order = F.struct(F.xxhash64("id"), "id")
+        last = usable.select(order.alias("o")).orderBy("o").limit(max_examples).agg(F.max("o").alias("o")).first().o
+        usable = usable.where(order <= F.struct(F.lit(last[0]), F.lit(last[1])))
+    sample = cut(usable.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")))
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     bad = bad or 0
     clean = n - bad
@@ -226,8 +229,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: i
     """Labelled texts outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(crc_bucket("doc_id", folds) != held_fold).select(F.col("doc_id").alias("__id"), "toxic")
-    # the smallest hashes, before any text is moved; more than enough for the rows without a text
-    known = known.orderBy(F.xxhash64(F.col("__id").cast("long")), "__id").limit(2 * MAX_EXAMPLES)
+    # the smallest hashes, before any text is moved
+    known = known.orderBy(F.xxhash64(F.col("__id").cast("long")), "__id").limit(MAX_EXAMPLES)
     return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).select(F.col("id").cast("long"), "text", "toxic")
 
 
