@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -116,9 +116,9 @@ def fenced_bytes(text: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["n"])
 
 
-def rules(text: Column) -> dict[str, Column]:
-    """Each rule of the classifier by name."""
-    lower, n = F.lower(text), size(text)
+def rules(text: Column, lower: Column | None = None) -> dict[str, Column]:
+    """Each rule of the classifier by name; lower is the text in lower case where that is a column already."""
+    lower, n = F.lower(text) if lower is None else lower, size(text)
     marks = times(text, "?")
     count = lambda phrases: _sum([times(lower, p) for p in phrases])
     plain_person = times(lower, " i ") + times(lower, "i'm")
@@ -142,9 +142,9 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
-def content_type(text: Column) -> Column:
+def content_type(text: Column, lower: Column | None = None) -> Column:
     """The type of a text: trivial ones first, then conversations by their signals, then the rest."""
-    r = rules(text)
+    r = rules(text, lower)
     out = F.when((size(text) < 100) | r["trivial"], "trivial")
     for name in ("insight", "synthesis", "planning", "exploration", "question", "investigation", "discussion", "reference", "creative"):
         out = out.when(r["conversational"] & r[name], name)
@@ -153,6 +153,11 @@ def content_type(text: Column) -> Column:
     return out.otherwise("exploration")
 
 
+def classified(rows: DataFrame, text: str, into: str = "content_type") -> DataFrame:
+    """rows with the type of a text column; its lower case is made once."""
+    return rows.withColumn("__lower", F.lower(text)).withColumn(into, content_type(F.col(text), F.col("__lower"))).drop("__lower")
+
+
 def tier(kind: Column) -> Column:
     from ..model import HIDDEN, SUPPORTING, VISIBLE
 

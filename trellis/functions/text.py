@@ -96,13 +96,12 @@ def bm25(docs: DataFrame, terms: list[str], text: Column, every: bool = False, k
 
     Only the query's terms are kept of each document, so a document is one row with a
     count for each term."""
-    words = tokens(text)
 
     def count(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == term))
+        return F.size(F.filter("words", lambda w: w == term))
 
     counts = [count(t).alias(f"t{i}") for i, t in enumerate(terms)]
-    rows = docs.select("id", F.size(words).alias("n"), *counts)
+    rows = docs.select("id", tokens(text).alias("words")).select("id", F.size("words").alias("n"), *counts)  # tokens are made once
     total = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(c(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     rows = rows.join(F.broadcast(total), F.lit(True))
     score = F.lit(0.0)

@@ -24,22 +24,29 @@ SIZE_FACTORS = (1, 2, 4, 8, 100)
 def merges(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(a, b, weight): a maximum spanning forest, whose weights are the heights at which single
     linkage merges. Boruvka: each round every component takes its strongest edge out, ties
-    by the ends; components at least halve, so there are few rounds."""
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a != b").groupBy("a", "b").agg(F.max("weight").alias("weight")))
-    nodes = cut(e.select(c("a").alias("id")).union(e.select("b")).distinct())
-    label = nodes.select("id", c("id").alias("component"))
-    chosen = e.limit(0)
+    by the ends, and components that follow each other's edges become one by pointer jumping;
+    they at least halve, so there are few rounds."""
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a != b").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    e = cut(e.select("a", "b", "weight", c("a").alias("ca"), c("b").alias("cb")))
+    chosen = e.select("a", "b", "weight").limit(0)
     for _ in range(max_rounds):
-        la, lb = (label.select(c("id").alias(x), c("component").alias(f"c{x}")) for x in "ab")
-        out = cut(e.join(la, "a").join(lb, "b").where("ca != cb"))
-        if out.isEmpty():
+        if e.isEmpty():
             break
-        strongest = F.min(F.struct((-c("weight")).alias("w"), c("a"), c("b")))
-        ends = out.select(c("ca").alias("component"), "weight", "a", "b").unionByName(out.select(c("cb").alias("component"), "weight", "a", "b"))
-        best = ends.groupBy("component").agg(strongest.alias("m")).select("m.a", "m.b", (-c("m.w")).alias("weight")).distinct()
-        chosen = cut(chosen.unionByName(best).distinct())
-        label = cut(components(nodes, chosen.select(c("a").alias("source_id"), c("b").alias("target_id"))))
-    return chosen
+        ends = e.select(c("ca").alias("component"), c("cb").alias("to"), "weight", "a", "b").unionByName(e.select(c("cb").alias("component"), c("ca").alias("to"), "weight", "a", "b"))
+        best = cut(ends.groupBy("component").agg(F.min(F.struct((-c("weight")).alias("w"), "a", "b", "to")).alias("m")).select("component", "m.to", "m.a", "m.b", (-c("m.w")).alias("weight")))
+        chosen = chosen.unionByName(best.select("a", "b", "weight").distinct())
+        # each component follows its edge; two that follow each other end at the smaller
+        back = best.select(c("component").alias("to"), c("to").alias("back"))
+        up = best.join(back, "to").select("component", F.when((c("back") == c("component")) & (c("component") < c("to")), c("component")).otherwise(c("to")).alias("to"))
+        up = cut(up)
+        for _ in range(max_rounds):
+            jumped = cut(up.join(up.select(c("component").alias("to"), c("to").alias("further")), "to").select("component", c("further").alias("to"), (c("further") != c("to")).alias("moved")))
+            up = jumped.select("component", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        ra, rb = up.select(c("component").alias("ca"), c("to").alias("na")), up.select(c("component").alias("cb"), c("to").alias("nb"))
+        e = cut(e.join(ra, "ca").join(rb, "cb").where("na != nb").select("a", "b", "weight", c("na").alias("ca"), c("nb").alias("cb")))
+    return cut(chosen.distinct())
 
 
 def cut_at(nodes: DataFrame, forest: DataFrame, threshold: float) -> DataFrame:

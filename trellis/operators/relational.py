@@ -350,8 +350,8 @@ def rollback_preview(edges: DataFrame, nodes: DataFrame, run_id: str) -> DataFra
 
 def run_metrics(edges: DataFrame) -> DataFrame:
     """Edges with the metrics of their metadata, typed."""
-    f = lambda k, t: F.get_json_object("metadata", f"$.{k}").cast(t)
-    return edges.where("metadata is not null").select("id", "created_at", "agent_id", f("run_id", "string").alias("run_id"), f("cost_usd", "double").alias("cost"), f("num_turns", "long").alias("turns"), f("status", "string").alias("status"), f("experiment", "string").alias("experiment"))
+    m = edges.where("metadata is not null").withColumn("m", F.from_json("metadata", "run_id string, cost_usd double, num_turns long, status string, experiment string"))
+    return m.select("id", "created_at", "agent_id", "m.run_id", c("m.cost_usd").alias("cost"), c("m.num_turns").alias("turns"), "m.status", "m.experiment")
 
 
 #: Run states, the strongest first.

@@ -29,9 +29,9 @@ def exchanges(t):
     return t.turns.groupBy(c("conv_id").alias("id")).agg(text.alias("t"))
 
 
-query("txt_01_content_type", lambda t: t.documents.select(c("doc_id").alias("id"), K.content_type(c("text")).alias("content_type")), K.oracle_sql("SELECT doc_id AS id, text AS t FROM documents"))
-query("txt_01_exchange_type", lambda t: exchanges(t).select("id", K.content_type(c("t")).alias("content_type")), K.oracle_sql(EXCHANGES))
-query("txt_02_signals", lambda t: t.documents.select(*(F.count_if(x).alias(name) for name, x in K.rules(c("text")).items())))
+query("txt_01_content_type", lambda t: K.classified(t.documents, "text").select(c("doc_id").alias("id"), "content_type"), K.oracle_sql("SELECT doc_id AS id, text AS t FROM documents"))
+query("txt_01_exchange_type", lambda t: K.classified(exchanges(t), "t").select("id", "content_type"), K.oracle_sql(EXCHANGES))
+query("txt_02_signals", lambda t: t.documents.select("text", F.lower("text").alias("lower")).select(*(F.count_if(x).alias(name) for name, x in K.rules(c("text"), c("lower")).items())))
 query("txt_05_tiers", lambda t: t.nodes.where("is_item").groupBy(K.tier(c("content_type")).alias("tier")).agg(F.count("*").alias("n")), "SELECT CASE WHEN content_type IN ('insight', 'exploration', 'synthesis', 'question', 'planning', 'concept', 'decision', 'paper', 'bookmark') OR content_type ILIKE 'code_%' THEN 'visible' WHEN content_type IN ('investigation', 'discussion', 'reference', 'creative') THEN 'supporting' WHEN content_type IN ('debug', 'code', 'paste', 'trivial') THEN 'hidden' END AS tier, count(*) AS n FROM nodes WHERE is_item GROUP BY 1")
 WORDS = f"WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(trim(lower(title)), '\\s+')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS word FROM nodes), k AS (SELECT word, count(*) AS n FROM w WHERE strlen(word) >= 3 AND word NOT IN {_in(X.KEYWORD_STOP)} AND NOT regexp_matches(word, '^\\p{{N}}+$') GROUP BY 1)"
 query("txt_06_title_words", lambda t: X.title_words(t.nodes), WORDS + " SELECT word, n FROM k")
