@@ -47,8 +47,8 @@ def test_classifier(spark):
 
 
 def test_fts_query(spark):
-    got = apply(spark, X.fts_query, "Add the flag to a function for parsing", "go do run fast", "the a of", "", "generate_task_file() function, (spore.rs)")
-    assert got == ["Add OR flag OR function OR parsing", "run OR fast", "", "", "generate_task_file OR function OR spore.rs"]
+    got = apply(spark, X.fts_query, "Add the flag to a function for parsing", "go do run fast", "the a of", "", "generate_task_file() function, (tool.rs)")
+    assert got == ["Add OR flag OR function OR parsing", "run OR fast", "", "", "generate_task_file OR function OR tool.rs"]
 
 
 def test_urls(spark):

@@ -39,7 +39,7 @@ FROM (
     CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'operational' WHEN 2 THEN 'meta' ELSE 'knowledge' END,
     CASE WHEN doc_id % 5 = 2 THEN CASE doc_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'contradiction' ELSE 'status' END END,
     CASE doc_id % 14 WHEN 0 THEN NULL WHEN 1 THEN 'insight' WHEN 2 THEN 'exploration' WHEN 3 THEN 'synthesis' WHEN 4 THEN 'question' WHEN 5 THEN 'planning' WHEN 6 THEN 'paper' WHEN 7 THEN 'code_function' WHEN 8 THEN 'investigation' WHEN 9 THEN 'discussion' WHEN 10 THEN 'debug' WHEN 11 THEN 'paste' WHEN 12 THEN 'idea' ELSE 'code' END,
-    CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'openaire' WHEN 2 THEN 'signal' WHEN 3 THEN 'markdown' ELSE 'claude' END, 'Author ' || CAST(doc_id % 9 AS STRING),
+    CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'openaire' WHEN 2 THEN 'signal' WHEN 3 THEN 'markdown' ELSE 'chat' END, 'Author ' || CAST(doc_id % 9 AS STRING),
     CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END, CASE WHEN doc_id % 6 <> 0 THEN CAST(doc_id % 10 AS DOUBLE) / 10 END, doc_id % 41 = 0,
     CASE WHEN doc_id % 6 = 0 THEN 1650000000000 + (doc_id * 7919 % 100000) * 1000 END, CASE doc_id % 8 WHEN 0 THEN '["title"]' WHEN 1 THEN '["title","tags"]' END,
     CASE WHEN doc_id % 7 = 0 THEN '{"file_path":"src/m' || CAST(doc_id % 17 AS STRING) || '.py","line":' || CAST(doc_id % 100 AS STRING) || '}' ELSE '["t' || CAST(doc_id % 5 AS STRING) || '"]' END, doc_id % 2 = 0, doc_id % 3 = 0
