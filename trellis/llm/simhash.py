@@ -8,7 +8,7 @@ order are linked, a chain with the same components as all pairs; the links are
 deduplicated and verified bit by bit. At most 1 + 64 distinct fingerprints can meet on
 a variant for r = 2, whatever the data, because exact copies are one fingerprint
 from the start; so no group is large. Components come from alternating star
-contraction, with a checkpoint in the shared folder each round.
+contraction, with a table in the shared folder each round.
 
 Defined cases: null and blank texts have no words and the fingerprint 0, linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut as cut_to_table
 from .common import arrow_map, cut
 
 SEED = 42
@@ -105,9 +106,9 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternating large-star and small-star contraction. The smallest neighbour of each
     node comes from a pre-aggregated groupBy and is joined back, so that the edges of a
-    node with very many can be split over tasks.
+    node with very many can be split over tasks. Rounds end in tables, whose sizes Spark knows.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    e = cut_to_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -115,7 +116,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(small_low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = cut(small.union(small_low.select("u", F.col("low").alias("v"))).distinct())
+        e = cut_to_table(small.union(small_low.select("u", F.col("low").alias("v"))).distinct())
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("u", "v") % 1000003).cast("long"))).first())
         if state == seen:
             break
