@@ -29,7 +29,15 @@ query("rec_11_latest_dates", lambda t: T.latest_dates(t.nodes), UP.format(start=
 query("rec_12_lowest_privacy", lambda t: T.lowest_privacy(t.nodes), UP.format(start="is_item AND privacy IS NOT NULL") + " SELECT ancestor AS id, min(n.privacy) AS privacy FROM u JOIN nodes n USING (id) WHERE level > 0 GROUP BY 1")
 query("rec_13_spread_privacy", lambda t: T.spread_privacy(t.nodes, "r-2", 0.4), DOWN.format(roots="id = 'r-2'") + " SELECT id, CASE WHEN privacy IS NULL AND id IN (SELECT id FROM d) THEN 0.4 ELSE privacy END AS privacy FROM nodes")
 query("rec_13_force_privacy", lambda t: T.spread_privacy(t.nodes, "r-2", 0.4, force=True), DOWN.format(roots="id = 'r-2'") + " SELECT id, CASE WHEN id IN (SELECT id FROM d) THEN 0.4 ELSE privacy END AS privacy FROM nodes")
-query("rec_14_supersession", lambda t: T.supersession(t.edges.where("kind = 'related'").select("id", F.lead("id", 1).over(Window.partitionBy("source_id").orderBy("id")).alias("superseded_by")), "e-7"), None)
+
+
+def supersession(t):
+    """REC-14 on the related edges of each source as versions, from the first edge of all."""
+    versions = t.edges.where("kind = 'related'").select("id", F.lead("id", 1).over(Window.partitionBy("source_id").orderBy("id")).alias("superseded_by"))
+    return T.supersession(versions, versions.agg(F.min("id")).first()[0])
+
+
+query("rec_14_supersession", supersession)
 query("rec_16_tree_lines", lambda t: T.tree_lines(t.nodes, "root", 2).select("id", "line"), DOWN.format(roots="id = 'root'") + " SELECT id, repeat('  ', level) || title AS line FROM d JOIN nodes USING (id) WHERE level <= 2")
 
 ENDS = "live AS (SELECT * FROM edges e WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)), deg AS (SELECT n.id, (SELECT count(*) FROM live WHERE target_id = n.id) AS incoming, (SELECT count(*) FROM live WHERE source_id = n.id) AS outgoing FROM nodes n)"
