@@ -141,14 +141,14 @@ def cohesion(group: list[str], others: list[str], edges: list[tuple[str, str, fl
     return (sum(inside) / len(inside) if inside else 0.0) / (sum(across) / len(across)) if across else math.inf
 
 
-def best_split(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeConfig, parent: float | None) -> tuple[float, list[list[str]]] | None:
-    """The threshold and children of the best valid split of a group: tightest cuts first, children large and even
-    enough and each more cohesive inside than towards the next; the best has the highest size-weighted balance."""
+def valid_splits(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeConfig, parent: float | None) -> list[tuple[float, list[list[str]]]]:
+    """The thresholds and children of the valid splits of a group, tightest first: children large and even
+    enough and each more cohesive inside than towards the others."""
     weights = sorted(w for _, _, w in edges)
     if not weights:
-        return None
+        return []
     cuts = sorted({weights[min(len(weights) - 1, len(weights) * p // 100)] for p in range(20, 81, 10)}, reverse=True)
-    best = None
+    found = []
     for t in cuts:
         if parent is not None and abs(t - parent) < cfg.delta:
             continue
@@ -158,12 +158,28 @@ def best_split(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeCon
         even = len(children[1]) / len(children[0]) >= dynamic_ratio(len(ids), cfg.iqr)
         covered = sum(map(len, children)) / len(ids) >= 0.5 and len(children) >= 3
         least = dynamic_cohesion(cfg.cohesion, cfg.density)
-        if not (even or covered) or any(cohesion(a, b, edges) < least for i, a in enumerate(children) for b in children[i + 1 :]):
-            continue
-        quality = len(children) * min(map(len, children)) / (sum(map(len, children)) / len(children))
-        if best is None or quality > best[0]:
-            best = (quality, t, children)
-    return best[1:] if best else None
+        if (even or covered) and all(cohesion(a, b, edges) >= least for i, a in enumerate(children) for b in children[i + 1 :]):
+            found.append((t, children))
+    return found
+
+
+def best_split(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeConfig, parent: float | None) -> tuple[float, list[list[str]]] | None:
+    """The valid split with the highest size-weighted balance, of equals the tightest."""
+    quality = lambda found: len(found[1]) * min(map(len, found[1])) / (sum(map(len, found[1])) / len(found[1]))
+    return max(valid_splits(ids, edges, cfg, parent), key=quality, default=None)
+
+
+def splits_of_groups(members: DataFrame, edges: DataFrame, cfg: TreeConfig) -> DataFrame:
+    """(component, threshold, children, smallest, largest): the valid splits of each group, from its inner edges in one task."""
+
+    def splits(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None))
+        found = valid_splits(sorted(set(pdf["a"]) | set(pdf["b"])), rows, cfg, None)
+        return pd.DataFrame([(pdf["component"].iloc[0], t, len(g), len(g[-1]), len(g[0])) for t, g in found], columns=["component", "threshold", "children", "smallest", "largest"])
+
+    ends = [members.select(c("id").alias(x), c("component").alias(f"c{x}")) for x in "ab"]
+    inside = edges.where("a != b and weight is not null").join(ends[0], "a").join(ends[1], "b").where("ca = cb").select(c("ca").alias("component"), "a", "b", c("weight").cast("double").alias("weight"))
+    return inside.groupBy("component").applyInPandas(splits, "component string, threshold double, children long, smallest long, largest long")
 
 
 def split_group(ids: list[str], edges: list[tuple[str, str, float]], cfg: TreeConfig, depth: int, parent: float | None) -> tuple[float | None, list[list[str]]]:

@@ -28,8 +28,12 @@ LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javas
 
 def chat_turns_a(spark: SparkSession, path: str) -> DataFrame:
     """(conv_id, name, turn, role, text) of an export that is an array of conversations with their messages."""
-    raw = spark.read.schema(EXPORT_A).json(path, multiLine=True)
-    m = raw.select(c("uuid").alias("conv_id"), "name", F.posexplode("chat_messages").alias("turn", "m"))
+    return turns_of_lists(spark.read.schema(EXPORT_A).json(path, multiLine=True))
+
+
+def turns_of_lists(conversations: DataFrame) -> DataFrame:
+    """The turns of conversations with the fields EXPORT_A."""
+    m = conversations.select(c("uuid").alias("conv_id"), "name", F.posexplode("chat_messages").alias("turn", "m"))
     role = F.when(c("m.sender") == "human", "user").otherwise(c("m.sender"))
     return m.select("conv_id", "name", "turn", role.alias("role"), c("m.text").alias("text"))
 
@@ -79,7 +83,11 @@ def linear_messages(mapping: dict, current: str | None) -> list[tuple[str, str]]
 def chat_turns_b(spark: SparkSession, path: str) -> DataFrame:
     """(conv_id, name, turn, role, text) of an export whose conversations are trees of messages."""
     # an element of the array is one record; its text is parsed in the worker
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("record"))
+    return turns_of_trees(spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("record")))
+
+
+def turns_of_trees(records: DataFrame) -> DataFrame:
+    """The turns of conversations that are JSON texts (record), each with its tree of messages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,7 +98,7 @@ def chat_turns_b(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(conv, r.get("title"), k, role, said) for k, (role, said) in enumerate(linear_messages(r.get("mapping") or {}, r.get("current_node")))]
             yield pd.DataFrame(rows, columns=["conv_id", "name", "turn", "role", "text"])
 
-    return raw.mapInPandas(run, "conv_id string, name string, turn int, role string, text string")
+    return records.select("record").mapInPandas(run, "conv_id string, name string, turn int, role string, text string")
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
