@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates (similarity 0.8 or more) one document stays."""
     ship(spark)
-    return _documents_like(docs, simhash.keep_one(docs))
+    return _documents_like(docs, simhash.keep_one(docs, similarity=0.8))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -416,6 +416,39 @@ def test_one_of_each_group_stays(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def _jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_similarity_0_8_go(spark):
+    rng = np.random.default_rng(8)
+    data, planted = [], []
+    for k in range(160):
+        n = int(rng.integers(120, 400))
+        base = [f"w{x}" for x in rng.integers(0, 5_000, n)]
+        goal = (0.80, 0.85, 0.90, 0.95, 0.6)[k % 5]
+        # one run of new words: similarity (n - 4 - m - 4) / (n - 4 + m + 4)
+        m = int(((1 - goal) * n - 8) / (1 + goal)) if goal > 0.7 else int(n * 0.25) + 8
+        at = int(rng.integers(5, n - m - 5))
+        copy = base[:at] + [f"x{x}" for x in rng.integers(0, 5_000, m)] + base[at + m :]
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        planted.append((2 * k + 1, _jaccard(" ".join(base), " ".join(copy))))
+    assert sum(0.8 <= s < 0.83 for _, s in planted) > 20
+    docs = spark.createDataFrame([*data, (1000, None), (1001, ""), (None, data[0][1])], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
+    assert kept == {2 * k for k in range(160)} | {i for i, s in planted if s < 0.8} | {1000, None}
+    assert simhash.keep_one(empty(spark), similarity=0.8).count() == 0
+
+
+def test_near_copies_in_a_crowded_band_go(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5_000, 300)]
+    data = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])) for k, at in enumerate(rng.integers(0, 300, 400))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()] == [0]
+
+
 # ---- 9 quality
 
 

@@ -10,6 +10,10 @@ a variant for r = 2, whatever the data, because exact copies are one fingerprint
 from the start; so no group is large. Components come from alternating star
 contraction, with a table in the shared folder each round.
 
+The pipeline's stage adds what the radius can't reach (similar_groups): sets of shingles that
+share a band of minima are compared in full, and those of Jaccard similarity 0.8 or more are
+linked too.
+
 Defined cases: null and blank texts have no words and the fingerprint 0, linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows are
 copies; a null id never becomes a component's name unless a whole component has
@@ -25,11 +29,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut as cut_to_table
 from .common import arrow_map, cut
+from .words import mix
 
 SEED = 42
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -56,23 +61,29 @@ def _vote(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed integer."""
-    votes, n, tail, any_word = np.zeros(64, np.int64), 0, [], False
+def _shingle_hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, of a long one in several arrays; nothing for a text without words."""
+    n, tail = 0, []
     for words in _word_blocks(text):
-        any_word = any_word or bool(words)
         words = tail + words
         if len(words) >= shingle:
             count = len(words) - shingle + 1
             joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if shingle > 1 else iter(words)
-            votes += _vote(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64, count))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64, count)
             n += count
         tail = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
-    if not any_word:
-        return 0
-    if not n:
-        votes, n = _vote(np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)), 1
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
+    if not n and tail:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)
+
+
+def _simhash(parts: list[np.ndarray]) -> int:
+    votes = sum((_vote(h) for h in parts), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(2 * votes > sum(map(len, parts))).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a text's word shingles, as a signed integer."""
+    return _simhash(list(_shingle_hashes(text, shingle, seed)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
@@ -141,10 +152,120 @@ def hex16(col: str):
     return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
+# ---- near copies by Jaccard similarity ------------------------------------------
+
+#: Bands and minima in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Texts before it in a band that a text is compared with; smaller bands are compared pair by pair.
+NEIGHBOURS = 64
+#: Rows of keys that may be broadcast.
+BROADCAST_ROWS = 500_000
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.arange(BANDS, dtype=np.uint64)
+
+
+def _set(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima over a set of shingles."""
+    if not len(hashes):
+        return []
+    with np.errstate(over="ignore"):
+        low = np.minimum.reduce([np.multiply.outer(_FACTORS, hashes[i : i + 4096]).min(axis=1) for i in range(0, len(hashes), 4096)]).reshape(BANDS, BAND_ROWS)
+        key = mix(_BAND + np.uint64(1))
+        for k in range(BAND_ROWS):
+            key = mix(key + low[:, k])
+    return key.view(np.int64).tolist()
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, key, fp, node, n, bands): node stands for the set of a row's n shingles, key for its text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, nodes, sizes, bands = [], [], [], []
+        for x in batch.column(2).cast(pa.binary()):
+            parts = list(_shingle_hashes(x.as_py() or b"", shingle, SEED))
+            own = _set(parts)
+            fps.append(_simhash(parts))
+            nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+            sizes.append(len(own))
+            bands.append(_bands(own))
+        made = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "key", "fp", "node", "n", "bands"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return arrow_map(rows, run, "id long, key long, fp long, node long, n long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles) of the texts of keys (key, node)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_set(list(_shingle_hashes(x.as_py() or b"", shingle, SEED))).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    some = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(some, "key").groupBy("node").agg(F.first("text").alias("text"))
+    return arrow_map(texts.select("node", "text"), run, "node long, shingles array<long>")
+
+
+def _similar_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """(a, b): pairs of sets (node, key, n, bands, root) of different roots that share a band, at most
+    width apart in it, and are at least as similar as asked."""
+    filed = sets.select("node", "n", "root", F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.element_at("bands", (i + 1) % BANDS + 1).alias("next")))).alias("b")).select("node", "n", "root", "b.*")
+    before = F.collect_list(F.struct("node", "n", "root")).over(Window.partitionBy("band").orderBy("next", "node").rowsBetween(-width, -1))
+
+    def possible(o: Column) -> Column:
+        # one set can't be so similar to one of another size
+        return (o["root"] != F.col("root")) & (F.least(F.col("n"), o["n"]) >= F.lit(similarity) * F.greatest(F.col("n"), o["n"]))
+
+    met = filed.withColumn("before", before).withColumn("before", F.filter("before", possible)).where("size(before) > 0").select("node", "n", F.explode("before").alias("o"))
+    pairs = cut(met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), (F.col("n") + F.col("o.n")).alias("both")).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = cut(sets.select("key", "node").join(wanted, "node").select("key", "node"))
+    full = cut(_shingle_sets(docs, keys, text_col, shingle))
+    compared = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return compared.where(shared >= F.lit(similarity) * (F.col("both") - shared)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """(id, component): near copies have a similarity (Jaccard, of the sets of shingles) of at
+    least this, or fingerprints within the radius; component is the smallest id reachable over them.
+
+    Candidates share a band of minima, and their sets are compared in full. In a band
+    of more than NEIGHBOURS texts each is compared with those next to it in the order of the next
+    band, in which similar texts are mostly equal too; every band has an order of its own.
+    """
+    rows = cut(_sketches(docs, id_col, text_col, shingle))
+    sets = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    by_fp = components(links(sets, radius))
+    rooted = sets.select("node", "fp").join(by_fp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    # of texts within the radius each is linked to the smallest
+    lowest = rooted.groupBy("root").agg(F.min("node").alias("low"))
+    roots = cut(rooted.join(lowest, "root").select("node", F.col("low").alias("root")))
+    # first next neighbours only, so that large groups are one before more are compared
+    for width in (1, NEIGHBOURS):
+        found = _similar_pairs(docs, sets.join(roots, "node"), width, similarity, text_col, shingle)
+        merged = components(found.union(roots.where("node != root")))
+        roots = cut(sets.select("node").join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    nodes = cut(rows.select("id", "node").join(roots, "node").select("id", "root"))
+    named = nodes.groupBy("root").agg(F.min("id").alias("component"))
+    return nodes.join(named, "root").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest
-    id stays, of rows that repeat this id the first by text; rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, radius)
+    id stays, of rows that repeat this id the first by text; rows without an id stay.
+    Groups are those of fingerprints, with a similarity those of similar_groups."""
+    if similarity is None:
+        groups = near_duplicates(docs, id_col, text_col, shingle, radius)
+    else:
+        groups = cut(similar_groups(docs, id_col, text_col, shingle, radius, similarity))
     going = groups.where("id > component").select(F.col("id").alias("__id")).distinct()
     kept = docs.join(going, docs[id_col] == going["__id"], "left_anti")
     twice = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
