@@ -493,6 +493,22 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert quality.consistency() == pytest.approx(1.4864, abs=1e-3)
 
 
+def test_repeats_alone_go_from_a_clean_group(spark):
+    rng = np.random.default_rng(4)
+    good = [(k, _clean(rng, 200), "en", "s") for k in range(200)]
+    words = _clean(rng, 200).split()
+    # 45 % of the words in one repeated run, on one line
+    run = " ".join(words[:110] + words[:45] + words[110:155])
+    line = " ".join(words[:20])
+    lines = "\n".join([line] * 5 + [" ".join(words[20:130])])
+    df = spark.createDataFrame([*good, (1000, run, "en", "s"), (1001, lines, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in quality.judge(df).collect()}
+    assert 0.44 < got[1000].n_repeat_words / got[1000].n_words < 0.5 and got[1000].n_dup_lines == 0
+    assert got[1001].n_repeat_words <= 0.5 * got[1001].n_words and got[1001].n_dup_lines == 4
+    assert not got[1000].base_failed and not got[1000].kept and not got[1001].base_failed and not got[1001].kept
+    assert all(got[k].kept for k, *_ in good)
+
+
 # ---- 10 decontamination
 
 

@@ -123,10 +123,11 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Share of a group's texts that an estimate is made from, concentration steps, texts that a group needs.
 H, STEPS, SMALL = 0.75, 6, 100
-#: Largest squared distance of a kept text: the 1 - 1e-9 quantile of chi squared with four degrees of freedom.
-LIMIT = 47.0
-#: Least standard deviation of each statistic.
-FLOORS = (0.03, 0.3, 0.35, 0.15)
+#: Largest squared distance of a kept text: the 0.999 quantile of chi squared with four degrees of freedom.
+LIMIT = 18.47
+#: Least standard deviation of each statistic, so small that in a group without repeats 2.5 repeated
+#: lines in 100 words or 0.45 repeated words alone pass the limit.
+FLOORS = (0.03, 0.3, 0.25, 0.12)
 _P = len(FLOORS)
 _X = [f"x{k}" for k in range(_P)]
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
