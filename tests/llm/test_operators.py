@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -346,17 +347,76 @@ def test_toxicity_separates_and_blocks_are_exact(spark):
     assert got[1000] == got[1001] < 0.3 and got[1002] > 0.7
     kept = toxicity.drop_toxic(docs, index)
     assert kept.columns == docs.columns and kept.where("doc_id is null or doc_id >= 1000").count() == 2
-    n = len(index.labels)
-    for q in index.rows[:80]:
-        if q:
-            dense = np.array([sum(q[t] * r.get(t, 0.0) for t in q) for r in index.rows])
-            best = sorted(((-c, i) for i, c in enumerate(dense) if c > 1e-12))[: toxicity.K]
-            near = index.nearest(q)
-            assert [c for c, _ in near] == pytest.approx([-c for c, _ in best])
-    assert n <= toxicity.MAX_EXAMPLES
+    assert len(index.labels) <= toxicity.MAX_EXAMPLES
     assert toxicity.score(empty(spark), index).count() == 0
 
 
+def _dense(index, vectors, r):
+    out = np.zeros(len(index.weights))
+    terms, weights = vectors.row(r)
+    out[terms] = weights
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Cosines of all pairs, votes, and probabilities by the min-max form of isotonic regression."""
+    data = _labelled(spark, 600)
+    # equal texts under several ids, one very long text, and ties
+    data += [(700 + k, data[k][1], data[k][2]) for k in range(6)] + [(800, "w1 w2 vile3 " * 30_000, 1), (801, "\u00e9\u00e9 \u6f22\u5b57", 0)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, toxic int")
+    index = toxicity.fit(toxicity.examples_of(docs, labels))
+    n = len(index.ids)
+    own = np.array([_dense(index, index.own, r) for r in range(n)])
+
+    def brute(query, leave=-1):
+        cosines = own @ query
+        if leave >= 0:
+            cosines[leave] = 0
+        near = sorted((i for i in range(n) if cosines[i] > 1e-12), key=lambda i: (-round(cosines[i], 9), index.ids[i]))[: toxicity.K]
+        if not near:
+            return None
+        w = 1 / (0.05 + np.maximum(0, 1 - cosines[near]))
+        return (w @ index.labels[near] + 0.5 * index.base_rate) / (w.sum() + 0.5)
+
+    votes = {}
+    for i in range(n):
+        terms, weights = index.own.row(i)
+        y = int(index.labels[i])
+        held = index.held[:, terms] - np.array([[1 - y], [y]])
+        q = np.zeros(len(index.weights))
+        q[terms] = weights / index.weights[terms] * toxicity.term_weights(held[0], held[1], index.n_clean - (1 - y), index.n_toxic - y)
+        if q.any() and (v := brute(q / np.linalg.norm(q), i)) is not None:
+            votes[i] = v
+    loo = {i: v for i in range(n) if (v := index.vote_without(i)) is not None}
+    assert loo.keys() == votes.keys() and max(abs(loo[i] - votes[i]) for i in votes) < 1e-6
+    order = sorted(loo, key=lambda i: (loo[i], index.labels[i]))
+    x, ys = np.array([loo[i] for i in order]), np.array([index.labels[i] for i in order])
+    sums = np.concatenate([[0], np.cumsum(ys)])
+    means = [(sums[k + 1 :] - sums[k]) / np.arange(1, len(ys) - k + 1) for k in range(len(ys))]
+    least = [np.minimum.accumulate(m[::-1])[::-1] for m in means]  # least[a][b - a]: over all ends from b
+    iso = np.round([max(least[a][k - a] for a in range(k + 1)) for k in range(len(ys))], 9)
+    levels = np.unique(iso)
+    assert len(levels) == (len(index.knots[0]) - 2) // 2  # a pool for each level
+    top = 0.0
+    for level in levels:
+        pool = iso == level
+        top = max(top, (ys[pool].sum() + x[pool].mean()) / (pool.sum() + 1))
+        assert index.knots[1][1:-1][np.searchsorted(levels, level) * 2] == pytest.approx(top)
+    got = {r.id: r for r in toxicity.score(docs, index).collect()}
+    found = next(iter(W.word_chunks(pa.array([t for _, t, _ in data]), W.ALNUM, size=1 << 30)))[2]
+    made = toxicity.vectors(found, len(data), index.terms, index.weights)
+    for r, (k, _, _) in enumerate(data):
+        v = brute(_dense(index, made, r))
+        expect = index.empty_rate if v is None else float(np.interp(v, *index.knots))
+        assert got[k].score == pytest.approx(expect, abs=1e-6)
+        assert (got[k].evidence == []) == (v is None)
+        assert got[k].postings_read <= got[k].postings_all
+    # an example's nearest evidence is its own text
+    k = int(index.ids[0])
+    assert got[k].evidence[0].cosine == pytest.approx(1.0) and dict((a, b) for a, b, _ in data)[got[k].evidence[0].doc_id] == dict((a, b) for a, b, _ in data)[k]
+
+
 def test_toxicity_without_examples(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     index = toxicity.fit(toxicity.examples_of(documents(spark), labels))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: maximal runs without space, tab, newline, VT, FF or CR.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -61,7 +62,7 @@ def crc_bucket(id_col: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,3 +71,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Rows of docs by a function of whole batches, with docs' columns in their places; in between
+    they have plain names, so that any name will do."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return arrow_map(plain, fn, plain.schema).toDF(*docs.columns)

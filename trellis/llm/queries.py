@@ -42,7 +42,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(toxicity.examples_of(docs, table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, index)
-    return scored.select(F.col("id").alias("doc_id"), (crc_bucket("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias("doc_id"), (crc_bucket("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence", "postings_read", "postings_all")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

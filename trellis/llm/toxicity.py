@@ -1,47 +1,54 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first 4 to 7 bytes (so that inflected and compound forms meet).
-Of the terms of the labelled examples those are kept whose presence depends on the
-label (chi squared over CHI2, in at least MIN_DF examples), at most MAX_TERMS, the strongest
-first; vectors are TF-IDF over these, of length 1. The examples' vectors form an
-inverted index in blocks of examples. For a text, the sum of its weights times each term's
-largest weight in a block bounds every cosine in that block (block-max pruning): the blocks
-with the highest bounds are read first, then those whose bounds reach the k-th best
-cosine so far, so that the result is that of comparing with all examples.
-
-Votes weigh 1/(eps + 1 - cosine), with a prior of the examples' base rate among those
-without any term; isotonic regression on the examples, each scored without itself, turns
-votes into probabilities. A text without any kept term has the (smoothed) rate of the
-examples without any.
+Vectors are TF-IDF over the terms of at least MIN_DF examples, each term weighed by how much its
+presence depends on the label (the phi coefficient), of length 1; where there are more
+than MAX_TERMS such terms those that depend least go.
+
+The examples' vectors form an inverted index whose postings are cut into blocks of
+BLOCK_ROWS examples. Examples stand in the order of their strongest terms, so that those of a
+block have terms in common and most blocks lack most terms. For a text, the sum of its
+weights times each term's largest weight in a block bounds every cosine in that block (block-max
+pruning): the blocks with the highest bounds are read first, then those whose bounds
+reach the k-th best cosine so far, so that the result is that of comparing with all examples.
+
+Votes weigh 1/(eps + 1 - cosine), with a prior of the examples' base rate; isotonic regression on
+the examples, each scored without itself, turns votes into probabilities. The nearest
+examples are the evidence. A text without any kept term has the (smoothed) rate of
+the examples without any.
 
 Examples are at most MAX_EXAMPLES labelled rows, those with the smallest hash of the id, one of
 each text. Every text is scored, whole, without a shuffle; index size is
-bounded by MAX_EXAMPLES * MAX_TERMS weights, of which a text holds some tens.
+bounded by MAX_EXAMPLES and MAX_TERMS.
 
-Defined cases: null and blank texts count as texts without a term; a text with several
-labels counts as toxic if any is 1; rows without a label or an id are no examples;
-without any example every score is 0.
+Defined cases: null and blank texts count as texts without a term; a very long text is one vector
+as any other, its words read in blocks; of examples of equal cosine the one with the smaller id is nearer; a
+text with several labels counts as toxic if any is 1; rows without a label or an id are no examples;
+repeated rows are scored alike; without any example every score is 0; an empty table gives an empty result.
+Other columns, whatever their names, are not looked at, and drop_toxic hands them on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc_bucket, cut
+from .common import column, crc_bucket, cut, map_rows
 
 #: The bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 12_000
-MAX_TERMS, MIN_DF, CHI2 = 2_048, 3, 24.0
+MAX_TERMS, MIN_DF = 8_192, 2
 PREFIXES = (4, 5, 6, 7)
-K, BLOCK_ROWS, FIRST_BLOCKS, EPS, PRIOR = 15, 128, 4, 0.05, 0.5
+K, BLOCK_ROWS, FIRST_BLOCKS, EPS, PRIOR = 15, 16, 16, 0.05, 0.5
 THRESHOLD = 0.7
+#: Texts whose result a task remembers, so that copies are searched for once.
+REMEMBERED = 20_000
 
 
 def _term_rows(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -69,132 +76,180 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(every - bad), pa.array(bad)], ["term", "clean", "toxic"])
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in spans, one after the other, and the spans' lengths."""
+    lengths = ends - starts
+    before = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum())), lengths
+
+
 @dataclass
+class Vectors:
+    """Sparse rows: the terms (places in the index) and weights of row r are those from first[r] to first[r + 1]."""
+
+    first: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = slice(self.first[r], self.first[r + 1])
+        return self.terms[mine], self.weights[mine]
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+
+def term_weights(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Inverse document frequency times phi of terms that so many clean and toxic examples hold; 0 for too few."""
+    df, n = (clean + toxic).astype(float), n_clean + n_toxic
+    spread = np.maximum(float(n_clean) * n_toxic * df * (n - df), 1e-300)
+    phi = np.abs(toxic * (n_clean - clean) - clean * (n_toxic - toxic).astype(float)) / np.sqrt(spread)
+    return np.where((df >= MIN_DF) & (df < n), (np.log((n + 1) / (df + 1)) + 1) * phi, 0.0)
+
+
 class Index:
-    """Vectors of the examples by blocks: for each block and term the largest weight, and the postings."""
-
-    terms: W.HashSet
-    idf: np.ndarray  # in the order of terms.keys
-    labels: np.ndarray
-    rows: list[dict[int, float]]  # of each example
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # term: blocks, largest weights
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # term: starts by block, examples, weights
-    empty_rate: float = 0.0
-    base_rate: float = 0.0
-    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
-
-    def build(self) -> Index:
-        n = len(self.labels)
-        by_term: dict[int, tuple[list[int], list[float]]] = {}
-        for i, row in enumerate(self.rows):
-            for t, w in row.items():
-                e, x = by_term.setdefault(t, ([], []))
-                e.append(i)
-                x.append(w)
-        for t, (e, x) in by_term.items():
-            examples, weights = np.array(e), np.array(x)
-            blocks, at = np.unique(examples // BLOCK_ROWS, return_index=True)
-            self.best[t] = (blocks, np.maximum.reduceat(weights, at))
-            self.postings[t] = (np.append(at, len(examples)), examples, weights)
-        self.base_rate = float((self.labels.sum() + 1) / (n + 2))
-        bare = np.array([not r for r in self.rows], bool)
+    """Postings of the examples' vectors by term and, within a term, by block."""
+
+    def __init__(self, terms: W.HashSet, held: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: Vectors):
+        self.terms, self.held = terms, held  # numbers of clean and toxic examples, in the order of terms.keys
+        n = len(ids)
+        self.n_toxic = int(labels.sum())
+        self.n_clean = n - self.n_toxic
+        self.weights = weights = term_weights(held[0], held[1], self.n_clean, self.n_toxic)
+        of = np.repeat(np.arange(n), np.diff(rows.first))
+        order = self._clustered(of, rows, n)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        self.blocks = -(-n // BLOCK_ROWS)
+        by_term = np.lexsort((place[of], rows.terms))
+        term, self.example, self.weight = rows.terms[by_term], place[of][by_term], rows.weights[by_term]
+        key = term.astype(np.int64) * max(self.blocks, 1) + self.example // BLOCK_ROWS
+        #: Entries: a term in a block, with the largest weight and the span of postings.
+        self.entry = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.entry_end = np.append(self.entry[1:], len(key)).astype(np.int64)[: len(self.entry)]
+        self.entry_block = self.example[self.entry] // BLOCK_ROWS
+        self.entry_best = np.maximum.reduceat(self.weight, self.entry) if len(key) else np.zeros(0)
+        self.term_first = np.searchsorted(term[self.entry], np.arange(len(weights) + 1))
+        self.own = Vectors(np.concatenate([[0], np.cumsum(np.diff(rows.first)[order])]), *(x[_spans(rows.first[order], rows.first[order + 1])[0]] for x in (rows.terms, rows.weights)))
+        self.base_rate = float((self.labels.sum() + 1) / (n + 2)) if n else 0.0
+        bare = np.diff(self.own.first) == 0
         self.empty_rate = float((self.labels[bare].sum() + 2 * self.base_rate) / (bare.sum() + 2))
-        self._calibrate()
-        return self
-
-    def _add(self, query: dict[int, float], blocks: list[int] | None, into: np.ndarray) -> None:
-        """Add the cosines of the examples of these blocks, of all for None."""
-        for t, q in query.items():
-            starts, examples, weights = self.postings[t]
-            if blocks is None:
-                into[examples] += q * weights
-                continue
-            have = self.best[t][0]
-            for b in blocks:
-                k = int(np.searchsorted(have, b))
-                if k < len(have) and have[k] == b:
-                    mine = slice(starts[k], starts[k + 1])
-                    into[examples[mine]] += q * weights[mine]
+        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     @staticmethod
-    def _kth(cosines: np.ndarray) -> float:
-        return float(np.partition(cosines, len(cosines) - K)[len(cosines) - K]) if len(cosines) >= K else 0.0
-
-    def nearest(self, query: dict[int, float], leave: int = -1) -> list[tuple[float, int]]:
-        """The K nearest examples with their cosines, nearest first, of equal ones the earlier."""
-        query = {t: q for t, q in query.items() if t in self.best}
-        if not query:
-            return []
-        bound = np.zeros(-(-len(self.labels) // BLOCK_ROWS))
-        for t, q in query.items():
-            blocks, top = self.best[t]
-            bound[blocks] += q * top
-        cosines = np.zeros(len(self.labels))
-        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-        self._add(query, first.tolist(), cosines)
-        if 0 <= leave:
-            cosines[leave] = 0.0
-        least = self._kth(cosines)
-        bound[first] = 0.0
-        rest = np.flatnonzero((bound > 0) & (bound + 1e-12 >= least))
-        if len(rest) > 2 * FIRST_BLOCKS:
-            cosines[:] = 0.0
-            self._add(query, None, cosines)
-        else:
-            self._add(query, rest.tolist(), cosines)
-        if 0 <= leave:
-            cosines[leave] = 0.0
-        near = np.flatnonzero(cosines >= max(self._kth(cosines), 1e-12))
-        near = near[np.lexsort((near, -cosines[near]))][:K]
-        return list(zip(cosines[near].tolist(), near.tolist(), strict=True))
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        weights = np.array([1 / (EPS + max(0.0, 1 - c)) for c, _ in near])
-        return float((weights @ self.labels[[i for _, i in near]] + PRIOR * self.base_rate) / (weights.sum() + PRIOR))
-
-    def _calibrate(self) -> None:
-        """Isotonic regression of the labels on the votes of the other examples, by merging
-        neighbours that are out of order; knots at the pools' mean votes."""
-        votes = sorted((self.vote(near), float(self.labels[i])) for i, row in enumerate(self.rows) if row and (near := self.nearest(row, i)))
-        pools: list[list[float]] = []  # sum of votes, sum of labels, number
-        for v, y in votes:
-            pools.append([v, y, 1])
-            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+    def _clustered(of: np.ndarray, rows: Vectors, n: int, strongest: int = 3) -> np.ndarray:
+        """Examples in the order of their strongest terms."""
+        order = np.lexsort((rows.terms, -rows.weights, of))
+        first, keys = rows.first[:-1], []
+        for k in range(strongest):
+            has = first + k < rows.first[1:]
+            at = np.where(has, first + k, 0)
+            keys.append(np.where(has, rows.terms[order[at]], -1) if len(order) else np.full(n, -1))
+        return np.lexsort(keys[::-1])
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """The K nearest examples, nearest first, of equal ones that with the smaller id: their cosines and places; and
+        how many postings of the text's terms were read, of how many."""
+        entry, spread = _spans(self.term_first[terms], self.term_first[terms + 1])
+        if not len(entry):
+            return np.zeros(0), np.zeros(0, np.int64), 0, 0
+        q, block = np.repeat(weights, spread), self.entry_block[entry]
+        bound = np.bincount(block, weights=q * self.entry_best[entry], minlength=self.blocks)
+        start, end = self.entry[entry], self.entry_end[entry]
+        n, read = len(self.ids), 0
+
+        def cosines(wanted: np.ndarray) -> np.ndarray:
+            nonlocal read
+            mine = wanted[block]
+            at, lengths = _spans(start[mine], end[mine])
+            read += len(at)
+            out = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(q[mine], lengths), minlength=n)
+            if leave >= 0:
+                out[leave] = 0.0
+            return out
+
+        def kth(values: np.ndarray) -> float:
+            return float(np.partition(values, n - K)[n - K]) if n >= K else 0.0
+
+        first = np.zeros(self.blocks, bool)
+        few = min(FIRST_BLOCKS, self.blocks)
+        first[np.argpartition(-bound, few - 1)[:few]] = True
+        found = cosines(first)
+        rest = ~first & (bound > 0) & (bound + 1e-12 >= kth(found))
+        if rest.any():
+            found += cosines(rest)
+        near = np.flatnonzero(found >= max(kth(found), 1e-12))
+        near = near[np.lexsort((self.ids[near], -found[near]))][:K]
+        return found[near], near, read, int((end - start).sum())
+
+    def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
+        weights = 1 / (EPS + np.maximum(0.0, 1 - cosines))
+        return float((weights @ self.labels[near] + PRIOR * self.base_rate) / (weights.sum() + PRIOR))
+
+    def vote_without(self, example: int) -> float | None:
+        """The vote on an example by the others, as if terms had been weighed without it; none if it has no neighbour."""
+        terms, weights = self.own.row(example)
+        toxic = int(self.labels[example])
+        clean, bad = self.held[0][terms] - (1 - toxic), self.held[1][terms] - toxic
+        weights = weights / self.weights[terms] * term_weights(clean, bad, self.n_clean - (1 - toxic), self.n_toxic - toxic)
+        some = weights > 0
+        if not some.any():
+            return None
+        cosines, near, _, _ = self.nearest(terms[some], weights[some] / np.sqrt((weights[some] ** 2).sum()), leave=example)
+        return self.vote(cosines, near) if len(near) else None
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Isotonic regression of labels on votes, by merging neighbours that are out of order; a pool's probability,
+        smoothed by its mean vote as one example more, holds from its least to its largest vote."""
+        pools: list[list[float]] = []  # sum of labels, number, sum of votes, least and largest vote
+        for k in np.lexsort((labels, votes)):
+            pools.append([labels[k], 1, votes[k], votes[k], votes[k]])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 last = pools.pop()
-                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+                pools[-1] = [*(a + b for a, b in zip(pools[-1][:3], last[:3], strict=True)), pools[-1][3], last[4]]
         if pools:
-            x = np.array([p[0] / p[2] for p in pools])
-            y = np.array([(p[1] + self.base_rate) / (p[2] + 1) for p in pools])
-            self.knots = (np.concatenate([[0.0], x, [1.0]]), np.concatenate([[0.0], np.maximum.accumulate(y), [1.0]]))
-        else:
-            self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def score(self, query: dict[int, float]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(query) if query else []
-        if not near:
-            return self.empty_rate, near
-        raw = self.vote(near)
-        # a little of the vote keeps the order within a pool
-        return float(min(1.0, max(0.0, 0.95 * np.interp(raw, *self.knots) + 0.05 * raw))), near
-
-
-def vectors(found: W.Words, n: int, terms: W.HashSet, idf: np.ndarray) -> list[dict[int, float]]:
-    """TF-IDF of length 1 over the kept terms, for each of n texts."""
+            y = np.maximum.accumulate([(p[0] + p[2] / p[1]) / (p[1] + 1) for p in pools])
+            self.knots = (np.array([0.0, *(x for p in pools for x in p[3:]), 1.0]), np.array([0.0, *np.repeat(y, 2), 1.0]))
+
+    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[dict], int, int]:
+        """The probability, the evidence, and postings read and all."""
+        cosines, near, read, every = self.nearest(terms, weights)
+        if not len(near):
+            return self.empty_rate, [], read, every
+        evidence = [{"doc_id": int(i), "toxic": int(y), "cosine": float(c)} for i, y, c in zip(self.ids[near], self.labels[near], cosines, strict=True)]
+        return float(np.interp(self.vote(cosines, near), *self.knots)), evidence, read, every
+
+
+def vectors(found: W.Words, n: int, terms: W.HashSet, weights: np.ndarray) -> Vectors:
+    """Weighed TF-IDF of length 1 over the kept terms, for each of n texts."""
     h, row = _term_rows(found)
     at = terms.find(h)
     has = at >= 0
-    out: list[dict[int, float]] = [{} for _ in range(n)]
-    if has.any():
-        pairs, counts = np.unique(row[has].astype(np.int64) * len(terms.keys) + at[has], return_counts=True)
-        rows, cols = np.divmod(pairs, len(terms.keys))
-        weights = (1 + np.log(counts)) * idf[cols]
-        norm = np.sqrt(np.bincount(rows, weights=weights**2, minlength=n))
-        for r, c, w in zip(rows.tolist(), cols.tolist(), (weights / norm[rows]).tolist(), strict=True):
-            out[r][c] = w
-    return out
-
-
-def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
+    pairs, counts = np.unique(row[has].astype(np.int64) * max(len(terms.keys), 1) + at[has], return_counts=True)
+    rows, cols = np.divmod(pairs, max(len(terms.keys), 1))
+    w = (1 + np.log(counts)) * weights[cols]
+    norm = np.sqrt(np.bincount(rows, weights=w**2, minlength=n))
+    return Vectors(np.searchsorted(rows, np.arange(n + 1)), cols, w / norm[rows])
+
+
+def _calibrated(spark: SparkSession, index: Index) -> Index:
+    """With each example's vote by the others, found in tasks."""
+    n = len(index.ids)
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.vote_without(i) for i in batch.column(0).to_pylist()], pa.float64())], ["id", "vote"])
+
+    votes = spark.range(0, n, 1, max(1, min(64, n // 100))).mapInArrow(run, "id long, vote double").where("vote is not null").toArrow()
+    at = np.asarray(votes.column("id"))
+    index.calibrate(np.asarray(votes.column("vote")), index.labels[at])
+    shared.destroy()
+    return index
+
+
+def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
     """An index of labelled texts (id, text, toxic)."""
     usable = examples.where("id is not null and toxic is not null")
     n = usable.count()
@@ -208,21 +263,28 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     clean = n - bad
     df = sample.select("text", "toxic").mapInArrow(_document_frequencies, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    chi2 = n * F.pow(a * (clean - b) - b * (bad - a), 2) / (bad * clean * (a + b) * (n - a - b + 1e-9)) if bad and clean else F.lit(0.0)
-    strongest = df.where(a + b >= MIN_DF).withColumn("chi2", chi2).where(F.col("chi2") > CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-    keys = np.array([r.term for r in strongest], np.int64).view(np.uint64)
+    chi2 = F.try_divide(n * F.pow(a * (clean - b) - b * (bad - a), 2), bad * clean * (a + b) * (n - a - b))
+    strongest = df.where(a + b >= MIN_DF).withColumn("chi2", chi2).where("chi2 > 0").orderBy(F.desc("chi2"), "term").limit(max_terms).toArrow()
+    keys = np.asarray(strongest.column("term")).view(np.uint64)
     terms = W.HashSet(keys)
-    idf = np.zeros(len(keys))
-    idf[np.searchsorted(terms.keys, keys)] = [np.log((n + 1) / (r.clean + r.toxic + 1)) + 1 for r in strongest]
+    held = np.zeros((2, len(keys)), np.int64)
+    held[:, np.searchsorted(terms.keys, keys)] = np.asarray(strongest.column("clean")), np.asarray(strongest.column("toxic"))
+    weights = term_weights(held[0], held[1], clean, bad)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [v for i, j, found in W.word_chunks(batch.column(1), W.ALNUM) for v in vectors(found, j - i, terms, idf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v) for v in made], pa.list_(pa.int32())), pa.array([list(v.values()) for v in made], pa.list_(pa.float64()))], ["id", "toxic", "terms", "weights"])
+            for i, j, found in W.word_chunks(batch.column(1), W.ALNUM):
+                made = vectors(found, j - i, terms, weights)
+                first = pa.array(made.first, pa.int32())
+                lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((made.terms, pa.int64()), (made.weights, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *lists], ["id", "toxic", "terms", "weights"])
 
-    made = sample.select("id", "text", "toxic").mapInArrow(vectorise, "id long, toxic int, terms array<int>, weights array<double>")
-    rows = sorted(made.collect(), key=lambda r: r.id)  # at most max_examples short vectors
-    return Index(terms, idf, np.array([r.toxic for r in rows], float), [dict(zip(r.terms, r.weights, strict=True)) for r in rows]).build()
+    # at most max_examples short vectors
+    made = sample.select("id", "text", "toxic").mapInArrow(vectorise, "id long, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id").combine_chunks()
+    sizes = [len(x) for x in made.column("terms")]
+    flat = [np.asarray(made.column(c).combine_chunks().flatten()) for c in ("terms", "weights")]
+    rows = Vectors(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat[0].astype(np.int64), flat[1].astype(float))
+    return _calibrated(examples.sparkSession, Index(terms, held, np.asarray(made.column("id")), np.asarray(made.column("toxic")), rows))
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1) -> DataFrame:
@@ -234,43 +296,46 @@ def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: i
     return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).select(F.col("id").cast("long"), "text", "toxic")
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: bool = False) -> DataFrame:
-    """(id, score), with evidence also the nearest examples' numbers and cosines."""
+def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple[float, list[dict], int, int]]) -> Iterator[tuple[float, list[dict], int, int]]:
+    """What Index.score gives for each text; known remembers the results of vectors."""
+    for i, j, found in W.word_chunks(col, W.ALNUM):
+        made = vectors(found, j - i, model.terms, model.weights)
+        for r in range(len(made)):
+            terms, weights = made.row(r)
+            key = terms.tobytes() + weights.tobytes()
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = model.score(terms, weights)
+            yield known[key]
+
+
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+
+
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, evidence, postings_read, postings_all): evidence holds the nearest examples, nearest first."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known: dict[tuple, tuple[float, list]] = {}
+        known: dict = {}
         for batch in batches:
-            scores, near = [], []
-            for i, j, found in W.word_chunks(batch.column(1), W.ALNUM):
-                for v in vectors(found, j - i, model.terms, model.idf):
-                    key = tuple(sorted(v.items()))
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = model.score(v)
-                    scores.append(known[key][0])
-                    near.append([{"example": e, "cosine": c} for c, e in known[key][1]] if evidence else [])
-            if scores:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())])))], ["id", "score", "evidence"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = out.mapInArrow(run, f"id {out.schema['id'].dataType.simpleString()}, score double, evidence array<struct<example: bigint, cosine: double>>")
-    return out if evidence else out.drop("evidence")
+            if batch.num_rows:
+                scores, evidence, read, every = zip(*_scores(shared.value, batch.column(1), known), strict=True)
+                made = [pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE), pa.array(read, pa.int64()), pa.array(every, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "score", "evidence", "postings_read", "postings_all"])
+
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>, postings_read long, postings_all long")
 
 
 def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    known: dict = {}  # each task gets one of its own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            keep: list[bool] = []
-            for i, j, found in W.word_chunks(batch.column(at), W.ALNUM):
-                keep += [model.score(v)[0] < threshold for v in vectors(found, j - i, model.terms, model.idf)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([s < threshold for s, *_ in _scores(shared.value, batch.column(at), known)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
