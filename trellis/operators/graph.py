@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..model import EDGE_PRIORITY, OTHER_PRIORITY, STRUCTURAL_EDGES
+from .ranges import running
 from .relational import live_edges
 from .trees import regions
 
@@ -31,6 +34,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.select("id").join(e.select(c("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -82,53 +87,80 @@ def freshness(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return e.select("edge", F.when(c("source_id") == node, "summary").otherwise("target").alias("side"), (c("s") >= c("t")).alias("fresh"))
 
 
+def breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, parent, level) of a breadth-first forest over edges (a, b) from the roots (id), of several parents the
+    smallest. A round extends all trees by a level."""
+    steps = edges.select(c("a").alias("at"), c("b").alias("to")).unionByName(edges.select(c("b").alias("at"), c("a").alias("to")))
+    seen = level = cut(roots.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
+    k = 0
+    while True:
+        k += 1
+        met = level.select(c("id").alias("at")).join(steps, "at").groupBy(c("to").alias("id")).agg(F.min("at").alias("parent"))
+        level = cut(met.join(seen, "id", "left_anti").select("id", "parent", F.lit(k).alias("level")))
+        if level.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(level))
+
+
+def _up_the_forest(forest: DataFrame, values: DataFrame, fns: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """values (id, columns of fns) with each column aggregated over the node's subtree, level by level from the deepest."""
+    rows = cut(forest.join(values, "id"))
+    deepest = rows.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return rows
+    done = level = cut(rows.where(c("level") == deepest))
+    for k in range(deepest - 1, -1, -1):
+        below = level.groupBy(c("parent").alias("id")).agg(*(fn(x).alias(f"_{x}") for x, fn in fns.items()))
+        both = [c("id"), c("parent"), c("level")] + [F.array_compact(F.array(x, f"_{x}")).alias(x) for x in fns]
+        one = {x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y) if fn is F.sum else F.array_min(x) if fn is F.min else F.array_max(x) for x, fn in fns.items()}
+        level = cut(rows.where(c("level") == k).join(below, "id", "left").select(*both).withColumns(one))
+        done = done.unionByName(level)
+    return cut(done)
+
+
 def cut_points(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articulation points (id), bridges (a, b)) of the simple graph.
-
-    Depth-first search needs a component together, so each is one group; components
-    run in parallel."""
-    e = live_edges(edges, nodes).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).where("a != b").distinct()
-    e = cut(e)
-    whole = components(nodes, e.select(c("a").alias("source_id"), c("b").alias("target_id")))
-    grouped = e.join(whole.select(c("id").alias("a"), "component"), "a").select("component", "a", "b")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        order, low, out = {}, {}, []
-        root = min(near)
-        stack = [(root, None, iter(sorted(near[root])))]
-        order[root] = low[root] = 0
-        cuts, root_children = set(), 0
-        while stack:
-            v, parent, rest = stack[-1]
-            for w in rest:
-                if w == parent:
-                    continue
-                if w in order:
-                    low[v] = min(low[v], order[w])
-                    continue
-                order[w] = low[w] = len(order)
-                stack.append((w, v, iter(sorted(near[w]))))
-                break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[v])
-                    if low[v] > order[parent]:
-                        out.append(("bridge", min(parent, v), max(parent, v)))
-                    if parent == root:
-                        root_children += 1
-                    elif low[v] >= order[parent]:
-                        cuts.add(parent)
-        if root_children > 1:
-            cuts.add(root)
-        return pd.DataFrame([*out, *(("point", x, "") for x in sorted(cuts))], columns=["what", "a", "b"])
-
-    found = cut(grouped.groupBy("component").applyInPandas(search, "what string, a string, b string"))
-    return found.where("what = 'point'").select(c("a").alias("id")), found.where("what = 'bridge'").select("a", "b")
+    """(articulation points (id), bridges (a, b)) of the simple graph, without a task that holds a component.
+
+    Over a breadth-first forest, numbered in preorder, each subtree is a range of numbers, and a
+    tree edge is a bridge if no other edge leaves the range of its lower end. Blocks (sets of edges no single
+    node parts) are components of a graph on the tree edges, after Tarjan and Vishkin:
+    an edge beside the forest joins the tree edges above its ends, and a tree edge joins the one above
+    it if some edge of its subtree reaches outside the upper end's range. A node in several blocks is an
+    articulation point. Rounds are as many as the forest has levels."""
+    e = cut(live_edges(edges, nodes).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).where("a != b").distinct())
+    linked = e.select(c("a").alias("id")).union(e.select("b")).distinct()
+    roots = components(linked, e.select(c("a").alias("source_id"), c("b").alias("target_id"))).select(c("component").alias("id")).distinct()
+    forest = breadth_first(e, roots)
+    sized = _up_the_forest(forest, forest.select("id", F.lit(1).cast("long").alias("size")), {"size": F.sum})
+    # preorder: a node comes after its parent and its earlier siblings' subtrees
+    order = [c("level"), c("parent").asc_nulls_first(), c("id")]
+    laid = cut(running(sized, order, {"before": c("size")}))
+    first = laid.groupBy(c("level").alias("l"), c("parent").alias("p")).agg(F.min("before").alias("first"))
+    laid = cut(laid.join(first, (c("level") == c("l")) & c("parent").eqNullSafe(c("p"))).select("id", "parent", "level", "size", (c("before") - c("first")).alias("offset")))
+    level = numbered = cut(laid.where("level = 0").select("id", "parent", "level", "size", c("offset").alias("pre")))
+    for k in range(1, (laid.agg(F.max("level")).first()[0] or 0) + 1):
+        up = level.select(c("id").alias("parent"), c("pre").alias("above"))
+        level = cut(laid.where(c("level") == k).join(up, "parent").select("id", "parent", "level", "size", (c("above") + 1 + c("offset")).alias("pre")))
+        numbered = numbered.unionByName(level)
+    numbered = cut(numbered)
+    tree = numbered.where("parent is not null").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    beside = e.join(tree, ["a", "b"], "left_anti")
+    pre = numbered.select("id", "pre")
+    ends = beside.select(c("a").alias("id"), c("b").alias("far")).unionByName(beside.select(c("b").alias("id"), c("a").alias("far")))
+    reach = ends.join(pre.select(c("id").alias("far"), c("pre").alias("to")), "far").groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"))
+    reach = pre.join(reach, "id", "left").select("id", F.least("pre", "low").alias("low"), F.greatest("pre", "high").alias("high"))
+    spans = _up_the_forest(forest, reach, {"low": F.min, "high": F.max}).select("id", "low", "high")
+    full = cut(numbered.join(spans, "id"))
+    inside = (c("low") >= c("pre")) & (c("high") < c("pre") + c("size"))
+    bridges = cut(full.where(c("parent").isNotNull() & inside).select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")))
+    upper = full.select(c("id").alias("parent"), c("pre").alias("ppre"), c("size").alias("psize"), c("parent").alias("grand"))
+    out = full.join(upper, "parent").where("grand is not null and (low < ppre or high >= ppre + psize)")
+    joined = beside.select(c("a").alias("source_id"), c("b").alias("target_id")).unionByName(out.select(c("parent").alias("source_id"), c("id").alias("target_id")))
+    lower = full.where("parent is not null").select("id", "parent")
+    blocks = cut(components(lower.select("id"), joined).join(lower, "id"))
+    touched = blocks.select("id", "component").union(blocks.select("parent", "component"))
+    points = cut(touched.groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("id"))
+    return points, bridges
 
 
 def fragile_regions(nodes: DataFrame, edges: DataFrame, at_most: int = 2) -> DataFrame:

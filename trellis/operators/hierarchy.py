@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from .graph import community_split, components
+from .ranges import running
 from .relational import weight_statistics
 
 c = F.col
@@ -44,8 +47,13 @@ def merges(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             up = jumped.select("component", "to")
             if jumped.where("moved").isEmpty():
                 break
+        else:
+            raise RuntimeError("merges did not settle")
         ra, rb = up.select(c("component").alias("ca"), c("to").alias("na")), up.select(c("component").alias("cb"), c("to").alias("nb"))
         e = cut(e.join(ra, "ca").join(rb, "cb").where("na != nb").select("a", "b", "weight", c("na").alias("ca"), c("nb").alias("cb")))
+    else:
+        if not e.isEmpty():
+            raise RuntimeError("merges did not settle")
     return cut(chosen.distinct())
 
 
@@ -70,9 +78,27 @@ def dynamic_thresholds(n: int, forest: DataFrame, factor: float = 1.3, plus: int
 
 def percentile_thresholds(forest: DataFrame, percents: list[int], apart: float = 0.001) -> list[float]:
     """Weights at sorted[n*p/100], those closer than `apart` to the one before left out."""
-    w = [r.weight for r in forest.select("weight").orderBy("weight").collect()] if forest.count() <= 1_000_000 else list(forest.approxQuantile("weight", [p / 100 for p in percents], 0.0))
-    picked = sorted({w[min(len(w) - 1, len(w) * p // 100)] for p in percents}) if w else []
-    return [x for k, x in enumerate(picked) if k == 0 or x - picked[k - 1] > apart]
+    w = cut(forest.where("weight is not null").groupBy("weight").agg(F.count("*").alias("m")))
+    n = w.agg(F.sum("m")).first()[0] or 0
+    # the distinct weights in order, each with the places that it takes
+    placed = running(w, [c("weight")], {"before": c("m")})
+    wanted = [min(n - 1, n * p // 100) for p in percents] if n else []
+    picked = sorted(r.weight for r in placed.where(reduce(or_, ((c("before") <= k) & (c("before") + c("m") > k) for k in wanted), F.lit(False))).select("weight").collect())
+    return apart_from_each_other(picked, apart)
+
+
+def apart_from_each_other(thresholds: list[float], apart: float = 0.001) -> list[float]:
+    """Rising thresholds without those closer than `apart` to the one before."""
+    rising = sorted(set(thresholds))
+    return [x for k, x in enumerate(rising) if k == 0 or x - rising[k - 1] > apart]
+
+
+def fixed_thresholds(edges: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, kept): given thresholds, tightest first, each once, with the edges at or above each."""
+    tight = sorted(set(thresholds), reverse=True)
+    counts = edges.agg(*(F.count_if(c("weight") >= t).alias(f"t{k}") for k, t in enumerate(tight)))
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{k}").alias("kept")) for k, t in enumerate(tight)))
+    return counts.select(F.inline(rows))
 
 
 @dataclass(frozen=True)
@@ -101,6 +127,14 @@ def min_ratio(n: int) -> float:
     return next(r for least, r in RATIOS if n > least or least == 0)
 
 
+def ratio_of(n: Column) -> Column:
+    """min_ratio as a column."""
+    out = F.lit(RATIOS[-1][1])
+    for least, ratio in reversed(RATIOS[:-1]):
+        out = F.when(n > least, ratio).otherwise(out)
+    return out
+
+
 def dynamic_ratio(n: int, iqr: float) -> float:
     return min_ratio(n) * min(max(iqr / 0.16, 0.25), 2.0)
 
@@ -278,6 +312,8 @@ def flatten_single_chains(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
         jump = nxt.select("id", "to")
         if nxt.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError("the parents form a cycle")
     left = nodes.select("id", "parent_id").join(jump.select("id"), "id", "left_anti")
     return left.join(jump.select(c("id").alias("parent_id"), "to"), "parent_id", "left").select("id", F.coalesce("to", "parent_id").alias("parent_id"))
 

@@ -1,4 +1,4 @@
-"""Running sums over a whole table in order, without one task that sees all rows."""
+"""Running sums and maxima over a whole table in order, without one task that sees all rows."""
 
 from __future__ import annotations
 
@@ -11,22 +11,28 @@ from ..checkpoints import cut
 RANGE_ROWS = 500_000
 
 
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """rows with columns for each of sums: the sum over all rows before the row in the order.
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with columns for each of sums and maxima: the sum (0 before the first row) and the maximum
+    (null before the first row) over all rows before the row in the order.
 
-    Rows are cut into ranges of the order, summed within each range, and the sums of the ranges
-    before (one row a range) are added. The order should have no ties.
+    Rows are cut into ranges of the order and treated within each range, and what the ranges before come
+    to (one row a range) is added. The order should have no ties.
     """
-    n = rows.count()
-    parts = -(-n // range_rows)
+    sums, maxima = sums or {}, maxima or {}
+
+    def before(window, sums: dict[str, Column], maxima: dict[str, Column]) -> dict[str, Column]:
+        return {k: F.coalesce(F.sum(x).over(window), F.lit(0)) for k, x in sums.items()} | {k: F.max(x).over(window) for k, x in maxima.items()}
+
+    parts = -(-rows.count() // range_rows)
     if parts <= 1:
-        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumns({k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()})
+        return rows.withColumns(before(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), sums, maxima))
     ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
-    totals = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__all_{k}") for k, c in sums.items()))
+    totals = ranged.groupBy("__range").agg(*(F.sum(x).alias(f"__all_{k}") for k, x in sums.items()), *(F.max(x).alias(f"__all_{k}") for k, x in maxima.items()))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__range", *(F.coalesce(F.sum(f"__all_{k}").over(earlier), F.lit(0)).alias(f"__all_{k}") for k in sums))
+    named = [{k: F.col(f"__all_{k}") for k in some} for some in (sums, maxima)]
+    totals = totals.select("__range", *(x.alias(f"__all_{k}") for k, x in before(earlier, *named).items()))
     inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumns({f"__own_{k}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
-    out = local.join(F.broadcast(totals), "__range")
-    return out.withColumns({k: F.col(f"__own_{k}") + F.col(f"__all_{k}") for k in sums}).drop("__range", *(f"__own_{k}" for k in sums), *(f"__all_{k}" for k in sums))
+    own = before(inside, sums, maxima)
+    out = ranged.withColumns({f"__own_{k}": x for k, x in own.items()}).join(F.broadcast(totals), "__range")
+    both = {k: F.col(f"__own_{k}") + F.col(f"__all_{k}") for k in sums} | {k: F.greatest(f"__own_{k}", f"__all_{k}") for k in maxima}
+    return out.withColumns(both).drop("__range", *(f"__{w}_{k}" for k in both for w in ("own", "all")))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..model import GRAPH_VISIBLE, SEMANTIC_EDGES, SUPPORTING, VISIBLE
+from .ranges import running
 
 c = F.col
 
@@ -407,11 +409,10 @@ def most_connected(edges: DataFrame, n: int = 5) -> DataFrame:
 def weight_statistics(edges: DataFrame, weight: str = "weight") -> DataFrame:
     """Count, mean, sample deviation, extremes and the percentiles sorted[n*p/100].
 
-    Percentiles come from counts of distinct weights: one row for each weight is ordered, not each edge."""
-    w = edges.where(c(weight).isNotNull()).groupBy(c(weight).alias("w")).agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0))
-    w = w.withColumn("upto", upto).withColumn("n", F.sum("m").over(Window.partitionBy()))
-    pick = lambda p: F.min(F.when(c("upto") > F.floor(c("n") * p / 100), c("w")))
+    Percentiles come from counts of distinct weights: one row for each weight is ordered, in ranges, not each edge."""
+    w = cut(edges.where(c(weight).isNotNull()).groupBy(c(weight).alias("w")).agg(F.count("*").alias("m")))
+    w = running(w, [c("w")], {"before": c("m")}).join(F.broadcast(w.agg(F.sum("m").alias("n"))), how="cross")  # one row
+    pick = lambda p: F.min(F.when(c("before") + c("m") > F.floor(c("n") * p / 100), c("w")))
     mean = F.sum(c("w") * c("m")) / F.max("n")
     out = w.agg(F.max("n").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum(c("w") * c("w") * c("m")) / F.max("n") - mean * mean, F.lit(0.0)) * F.max("n") / F.greatest(F.max("n") - 1, F.lit(1))).alias("std"), F.min("w").alias("low"), F.max("w").alias("high"), *(pick(p).alias(f"p{p}") for p in (10, 25, 50, 75, 90)))
     return out.select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high", "p10", "p25", "p50", "p75", "p90", F.round(c("p75") - c("p25"), 6).alias("iqr"))
@@ -434,9 +435,9 @@ def recency(edges: DataFrame) -> DataFrame:
 
 def weight_gaps(edges: DataFrame, top: int) -> DataFrame:
     """The largest gaps between neighbouring distinct weights, with their midpoints."""
-    w = edges.where("weight is not null").select("weight").distinct()
-    gap = F.lag("weight").over(Window.orderBy(F.desc("weight"))) - c("weight")
-    out = w.withColumn("gap", F.round(gap, 6)).where("gap is not null").orderBy(F.desc("gap"), F.desc("weight")).limit(top)
+    w = cut(edges.where("weight is not null").select("weight").distinct())
+    w = running(w, [c("weight")], maxima={"below": c("weight")}).select(c("below").alias("weight"), (c("weight") - c("below")).alias("gap"))
+    out = w.withColumn("gap", F.round("gap", 6)).where("gap is not null").orderBy(F.desc("gap"), F.desc("weight")).limit(top)
     return out.select("gap", F.round(c("weight") + c("gap") / 2, 6).alias("threshold"))
 
 

@@ -1,45 +1,61 @@
 """Queries up and down the tree of nodes (id, parent_id, depth, ...).
 
-Trees are walked level by level with joins on the parent; rounds end when a level is empty or
-after max_levels, so cycles and broken chains end too.
+Trees are walked level by level with joins on the parent, until a level is empty, however deep;
+max_levels is for queries that are limited by definition. Chains that run into a cycle end
+too: every CHECK_LEVELS levels what was reached before is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 
 c = F.col
-MAX_LEVELS = 64
+CHECK_LEVELS = 64
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """(id, root, level) of everything under the roots (column id), which are level 0."""
-    tree = nodes.where("parent_id is not null").select("id", "parent_id")
-    level = cut(roots.select("id", c("id").alias("root"), F.lit(0).alias("level")))
-    out = level
-    for k in range(1, max_levels + 1):
-        up = level.select(c("id").alias("parent_id"), "root")
-        level = cut(tree.join(up, "parent_id").where("id != root").select("id", "root", F.lit(k).alias("level")))
+def _walk(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_levels: int | None) -> DataFrame:
+    """The rows of start and of all levels after it; step gives (keys) of the next level, to which the level is added."""
+    out = level = cut(start)
+    k, cycles = 0, False
+    while max_levels is None or k < max_levels:
+        k += 1
+        level = step(level).withColumn("level", F.lit(k))
+        level = cut(level if k % CHECK_LEVELS else level.join(out, keys, "left_anti"))
         if level.isEmpty():
             break
+        if k % CHECK_LEVELS == 0:
+            cycles = True
+            out = cut(out)
         out = out.unionByName(level)
-    return out
+    # a cycle gives pairs more than once, within the levels between two looks
+    return out.groupBy(*keys).agg(F.min("level").alias("level")) if cycles else out
+
+
+def descendants(nodes: DataFrame, roots: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """(id, root, level) of everything under the roots (column id), which are level 0."""
+    tree = nodes.where("parent_id is not null").select("id", "parent_id")
 
+    def step(level: DataFrame) -> DataFrame:
+        return tree.join(level.select(c("id").alias("parent_id"), "root"), "parent_id").where("id != root").select("id", "root")
 
-def ancestors(nodes: DataFrame, start: DataFrame | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
+    return _walk(roots.select("id", c("id").alias("root"), F.lit(0).alias("level")), step, ["id", "root"], max_levels)
+
+
+def ancestors(nodes: DataFrame, start: DataFrame | None = None, max_levels: int | None = None) -> DataFrame:
     """(id, ancestor, level) of the start nodes (all by default), each its own ancestor at level 0."""
     parent = nodes.select(c("id").alias("ancestor"), c("parent_id").alias("__up"))
-    level = cut((start if start is not None else nodes).select("id", c("id").alias("ancestor"), F.lit(0).alias("level")))
-    out = level
-    for k in range(1, max_levels + 1):
-        level = cut(level.join(parent, "ancestor").where("__up is not null").select("id", c("__up").alias("ancestor"), F.lit(k).alias("level")).join(nodes.select(c("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "level"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    known = nodes.select(c("id").alias("ancestor"))
+
+    def step(level: DataFrame) -> DataFrame:
+        up = level.join(parent, "ancestor").where("__up is not null").select("id", c("__up").alias("ancestor"))
+        return up.join(known, "ancestor", "left_semi").select("id", "ancestor")
+
+    return _walk((start if start is not None else nodes).select("id", c("id").alias("ancestor"), F.lit(0).alias("level")), step, ["id", "ancestor"], max_levels)
 
 
 def subtree_nodes(nodes: DataFrame, root: str, items_only: bool = False) -> DataFrame:

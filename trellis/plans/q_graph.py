@@ -41,27 +41,20 @@ query("rec_14_supersession", supersession)
 query("rec_16_tree_lines", lambda t: T.tree_lines(t.nodes, "root", 2).select("id", "line"), DOWN.format(roots="id = 'root'") + " SELECT id, repeat('  ', level) || title AS line FROM d JOIN nodes USING (id) WHERE level <= 2")
 
 ENDS = "live AS (SELECT * FROM edges e WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)), deg AS (SELECT n.id, (SELECT count(*) FROM live WHERE target_id = n.id) AS incoming, (SELECT count(*) FROM live WHERE source_id = n.id) AS outgoing FROM nodes n)"
-LINK_NODES = "lnodes AS (SELECT a AS id FROM links UNION SELECT b FROM links)"
-
-
-def link_graph(t):
-    links = t.links
-    nodes = links.select(c("a").alias("id")).union(links.select("b")).distinct()
-    return nodes, links.select(F.concat("a", F.lit("-"), "b").alias("id"), c("a").alias("source_id"), c("b").alias("target_id"))
-
-
-query("gra_01_components", lambda t: G.components(*link_graph(t)), f"WITH RECURSIVE {LINK_NODES}, s AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), r(id, seen) AS (SELECT id, id FROM lnodes UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY 1")
+#: Labels go along edges while they fall; a row is kept for each node.
+COMPONENTS = "l AS (SELECT source_id AS a, target_id AS b FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT s.b, min(cc.comp) FROM cc JOIN s ON s.a = cc.id JOIN recurring.cc AS old ON old.id = s.b WHERE cc.comp < old.comp GROUP BY s.b)"
+query("gra_01_components", lambda t: G.components(t.nodes, R.live_edges(t.edges, t.nodes)), f"WITH RECURSIVE {COMPONENTS} SELECT id, comp AS component FROM cc")
 query("gra_02_degrees", lambda t: G.degrees(t.nodes, t.edges), f"WITH {ENDS} SELECT id, incoming + outgoing AS degree, incoming, outgoing FROM deg")
 query("gra_03_orphans", lambda t: G.degrees(t.nodes, t.edges).where("degree = 0").select("id"), f"WITH {ENDS} SELECT id FROM deg WHERE incoming + outgoing = 0")
 query("gra_04_histogram", lambda t: G.degree_histogram(t.nodes, t.edges), f"WITH {ENDS}, k AS (SELECT incoming + outgoing AS d FROM deg) SELECT count_if(d = 0) AS from_0, count_if(d = 1) AS from_1, count_if(d BETWEEN 2 AND 3) AS from_2, count_if(d BETWEEN 4 AND 7) AS from_4, count_if(d BETWEEN 8 AND 15) AS from_8, count_if(d BETWEEN 16 AND 31) AS from_16, count_if(d >= 32) AS from_32 FROM k")
 query("gra_05_hubs", lambda t: R.page(G.degrees(t.nodes, t.edges).where("degree > 50"), [F.desc("degree"), "id"], 20), f"WITH {ENDS} SELECT id, incoming + outgoing AS degree, incoming, outgoing FROM deg WHERE incoming + outgoing > 50 ORDER BY degree DESC, id LIMIT 20")
-query("gra_06_topology", lambda t: G.topology(*link_graph(t)), f"WITH RECURSIVE {LINK_NODES}, s AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), r(id, seen) AS (SELECT id, id FROM lnodes UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.seen), k AS (SELECT id, min(seen) AS comp FROM r GROUP BY 1), z AS (SELECT comp, count(*) AS n FROM k GROUP BY 1) SELECT (SELECT count(*) FROM lnodes) AS nodes, 0 AS orphans, (SELECT count(*) FROM links) AS edges, count(*) AS components, max(n) AS largest, min(n) AS smallest FROM z")
+query("gra_06_topology", lambda t: G.topology(t.nodes, t.edges), f"WITH RECURSIVE {COMPONENTS}, z AS (SELECT comp, count(*) AS n FROM cc GROUP BY 1) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT a FROM s)) AS orphans, (SELECT count(*) FROM l) AS edges, count(*) AS components, max(n) AS largest, min(n) AS smallest FROM z")
 AS_OF = 960_000_000_000
 query("gra_07_stale_nodes", lambda t: G.stale_nodes(t.nodes, t.edges, AS_OF, 60), f"SELECT n.id, floor(({AS_OF} - n.updated_at) / 86400000)::BIGINT AS age_days, count(*) AS recent FROM nodes n JOIN edges e ON e.target_id = n.id WHERE n.updated_at < {AS_OF - 60 * 86400000} AND e.created_at > {AS_OF - 7 * 86400000} AND e.created_at <= {AS_OF} AND e.source_id <> e.target_id GROUP BY 1, 2")
 query("gra_08_stale_summaries", lambda t: G.stale_summaries(t.nodes, t.edges), "SELECT e.id AS edge, floor((g.updated_at - s.updated_at) / 86400000)::BIGINT AS drift_days FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes g ON g.id = e.target_id WHERE e.kind = 'summarizes' AND g.updated_at > s.updated_at")
 query("gra_09_freshness", lambda t: G.freshness(t.nodes, t.edges, "d-7"), "SELECT e.id AS edge, CASE WHEN e.source_id = 'd-7' THEN 'summary' ELSE 'target' END AS side, s.updated_at >= g.updated_at AS fresh FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes g ON g.id = e.target_id WHERE e.kind = 'summarizes' AND 'd-7' IN (e.source_id, e.target_id)")
-query("gra_10_bridges", lambda t: G.cut_points(*link_graph(t))[1])
-query("gra_10_articulation_points", lambda t: G.cut_points(*link_graph(t))[0])
+query("gra_10_bridges", lambda t: G.cut_points(t.nodes, t.edges)[1])
+query("gra_10_articulation_points", lambda t: G.cut_points(t.nodes, t.edges)[0])
 query("gra_11_fragile_regions", lambda t: G.fragile_regions(t.nodes, t.edges.where("kind = 'supersedes'"), 100_000), REGION + " SELECT least(a.region, b.region) AS a, greatest(a.region, b.region) AS b, count(*) AS n FROM edges e JOIN reg a ON a.id = e.source_id JOIN reg b ON b.id = e.target_id WHERE e.kind = 'supersedes' AND a.region <> b.region AND a.region <> 'unassigned' AND b.region <> 'unassigned' GROUP BY 1, 2 HAVING count(*) <= 100000")
 PRIO = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in EDGE_PRIORITY.items()) + " ELSE 0.3 END"
 COST = f"CASE WHEN kind IN ('defined_in', 'belongs_to', 'sibling') THEN greatest((1 - coalesce(confidence, 0.5)) * (1 - 0.5 * {PRIO}), 0.4) ELSE greatest((1 - coalesce(confidence, 0.5)) * (1 - 0.5 * {PRIO}), 0.001) END"
@@ -69,7 +62,16 @@ query("gra_13_context", lambda t: G.expand_context(t.nodes, t.edges, ["d-7"], bu
 query("gra_14_relevant_edges", lambda t: G.relevant_edges(t.edges, "d-7", 12), f"WITH x AS (SELECT *, min(created_at) OVER () AS t0, max(created_at) OVER () AS t1 FROM edges WHERE 'd-7' IN (source_id, target_id)) SELECT id, round(0.3 * CASE WHEN t1 > t0 THEN (created_at - t0) / (t1 - t0) ELSE 1.0 END + 0.3 * coalesce(confidence, 0.5) + 0.4 * {PRIO}, 6) AS score FROM x ORDER BY score DESC, id LIMIT 12")
 query("gra_15_simple_paths", lambda t: G.simple_paths(t.edges, "d-7", "d-9", 2), "WITH s AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges) SELECT 1 AS hops, a || '>' || b AS path FROM s WHERE a = 'd-7' AND b = 'd-9' UNION ALL SELECT 2, x.a || '>' || x.b || '>' || y.b FROM s x JOIN s y ON y.a = x.b WHERE x.a = 'd-7' AND y.b = 'd-9' AND x.b NOT IN ('d-7', 'd-9') ORDER BY hops, path LIMIT 20")
 query("gra_16_reach", lambda t: G.reach(t.edges, "d-7", 2), "WITH s AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), r AS (SELECT 'd-7' AS id, 0 AS hops UNION ALL SELECT b, 1 FROM s WHERE a = 'd-7' UNION ALL SELECT y.b, 2 FROM s x JOIN s y ON y.a = x.b WHERE x.a = 'd-7') SELECT id, min(hops) AS hops FROM r GROUP BY 1")
-query("gra_17_communities", lambda t: G.communities(t.links.select(F.lit("all").alias("g"), "a", "b", F.lit(1.0).alias("weight")), "g"))
+
+
+def sibling_communities(t):
+    """GRA-17 on all edges between items of one category, weighed by the best of parallel ones."""
+    inside = G.edge_parents(t.edges, t.nodes).where("source_parent_id = target_parent_id and source_id != target_id and weight is not null")
+    best = inside.groupBy(c("source_parent_id").alias("g"), F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.max("weight").cast("double").alias("weight"))
+    return G.communities(best, "g")
+
+
+query("gra_17_communities", sibling_communities)
 query("gra_18_multi_anchor", lambda t: G.best_context(G.expand_context(t.nodes, t.edges, ["d-7", "d-9"], budget=7, max_hops=2, max_cost=0.5)).select("id", "relevance"))
 CROSS = f"""WITH x AS (SELECT least(s.parent_id, g.parent_id) AS a, greatest(s.parent_id, g.parent_id) AS b FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes g ON g.id = e.target_id JOIN nodes ca ON ca.id = s.parent_id JOIN nodes cb ON cb.id = g.parent_id
   WHERE e.kind IN {SEMANTIC_EDGES} AND s.parent_id <> g.parent_id AND ca.parent_id = cb.parent_id AND NOT ca.is_item AND NOT cb.is_item), z AS (SELECT parent_id, count(*) AS size FROM nodes WHERE is_item GROUP BY 1)"""

@@ -92,10 +92,10 @@ query("vec_15_lessons", lambda t: R.page(t.nodes.where("node_class = 'meta'"), [
 # ---- thresholds and splits
 query("tre_02_natural_thresholds", lambda t: R.weight_gaps(semantic(t), 2), f"WITH {SEM.format(t=0.3, k=10)}, w AS (SELECT DISTINCT similarity AS weight FROM sem), g AS (SELECT weight, round(lag(weight) OVER (ORDER BY weight DESC) - weight, 6) AS gap FROM w) SELECT gap, round(weight + gap / 2, 6) AS threshold FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, weight DESC LIMIT 2")
 query("tre_03_percentile_thresholds", lambda t: t.spark.createDataFrame([(x,) for x in H.percentile_thresholds(semantic(t), [25, 50, 75])], "threshold double"), f"WITH {SEM.format(t=0.3, k=10)}, z AS (SELECT list_sort(list(similarity)) AS w FROM sem) SELECT DISTINCT w[len(w) * p // 100 + 1] AS threshold FROM z, (VALUES (25), (50), (75)) x(p)")
-query("tre_04_fixed_thresholds", lambda t: t.spark.createDataFrame([(x,) for x in sorted({0.5, 0.8, 0.3}, reverse=True)], "threshold double"), "SELECT unnest([0.8, 0.5, 0.3]::DOUBLE[]) AS threshold")
+query("tre_04_fixed_thresholds", lambda t: H.fixed_thresholds(t.edges, [0.5, 0.92, 0.96, 0.92]), "SELECT x.t::DOUBLE AS threshold, (SELECT count(*) FROM edges WHERE weight >= x.t) AS kept FROM (VALUES (0.96), (0.92), (0.5)) x(t)")
 query("tre_09_config", lambda t: t.spark.createDataFrame([H.config_of(vectors(t), semantic(t))]).select("min_size", "max_depth", F.round("iqr", 6).alias("iqr")), f"WITH {SEM.format(t=0.3, k=10)}, z AS (SELECT list_sort(list(similarity)) AS w FROM sem) SELECT least(greatest(ceil(sqrt((SELECT count(*) FROM v)) / 15), 3), 7)::BIGINT AS min_size, 7::BIGINT AS max_depth, round(w[len(w) * 75 // 100 + 1] - w[len(w) * 25 // 100 + 1], 6) AS iqr FROM z")
 query("tre_10_inner_weights", lambda t: weighted(t).join(vectors(t).select(c("id").alias("a"), c("label").alias("la")), "a").join(vectors(t).select(c("id").alias("b"), c("label").alias("lb")), "b").groupBy((c("la") == c("lb")).alias("inside")).agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("mean")), f"WITH {SEM.format(t=0.3, k=10)} SELECT x.label = y.label AS inside, count(*) AS n, round(avg(similarity), 6) AS mean FROM sem JOIN v x ON x.id = a JOIN v y ON y.id = b GROUP BY 1")
-query("tre_11_ratios", lambda t: t.nation.select("n_nationkey", F.when(c("n_nationkey") * 30 > 500, 0.01).when(c("n_nationkey") * 30 > 200, 0.03).when(c("n_nationkey") * 30 > 50, 0.08).otherwise(0.15).alias("ratio")), "SELECT n_nationkey, CASE WHEN n_nationkey * 30 > 500 THEN 0.01 WHEN n_nationkey * 30 > 200 THEN 0.03 WHEN n_nationkey * 30 > 50 THEN 0.08 ELSE 0.15 END::DOUBLE AS ratio FROM nation")
+query("tre_11_ratios", lambda t: t.nation.select("n_nationkey", H.ratio_of(c("n_nationkey") * 30).alias("ratio")), "SELECT n_nationkey, CASE WHEN n_nationkey * 30 > 500 THEN 0.01 WHEN n_nationkey * 30 > 200 THEN 0.03 WHEN n_nationkey * 30 > 50 THEN 0.08 ELSE 0.15 END::DOUBLE AS ratio FROM nation")
 
 
 def rebuilt(t):
