@@ -1,11 +1,12 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record's layout is its nested field paths. Their hash, the fingerprint, selects a
-declarative mapping: which field or list of messages gives the turns, under which role. Typed
-tables have one layout, hashed from the schema when the query is built; JSON records are hashed row
-by row, from the schema that the variant type derives, so that records of many layouts
-may share a column. Mapped records become canonical turns (seq, role, text), and turns
-become one text by a template that marks each turn:
+Every record, of whatever source, becomes a variant (JSON text by parsing, rows of a table by
+building one), and its layout is derived row by row: the nested field paths, written as a skeleton without
+scalar types. Paths that a mapping declares ignorable are struck out, and the hash of
+what is left, the fingerprint, selects a declarative mapping: which field or list of messages
+gives the turns, under which role. So records of many layouts may share a column, and all
+go the same way. Mapped records become canonical turns (seq, role, text), and turns become one
+text by a template that marks each turn:
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
 
@@ -14,10 +15,12 @@ Inside roles and texts a backslash becomes two and "<|" becomes "<", backslash,
 exact. The loss mask is a list of spans (start, length in code points of the formatted text),
 one for each assistant text.
 
-Defined cases: a null role or text is empty; turns are ordered by turn (null first), then role, then text;
-repeated rows are turns of their own; rows without a conversation id form one
-conversation without an id; a JSON record of unknown layout gives a row without turns whose
-layout is null; a record that is not JSON likewise; empty tables give empty results.
+Defined cases: a null role or text is empty; turns are ordered by turn (null first), then role, then text, so
+ties have one order; repeated rows are turns of their own; rows without a conversation id form one
+conversation without an id; a conversation is one value, however long, and has to fit a task; a
+record whose paths no mapping has, or that is not JSON, gives a row without turns whose
+layout is null (layout_counts counts them); other columns, whatever their names, are not looked at; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import column
 
 START, STOP, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 
@@ -35,7 +39,8 @@ START, STOP, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 @dataclass(frozen=True)
 class Mapping:
     """How a layout becomes turns: either a list of messages with a role and a text
-    field, or fields that are turns themselves. Paths in `optional` may be absent."""
+    field, or fields that are turns themselves. Paths in `optional` may be absent; what stands under names in
+    `ignorable`, in the record or in a message, is not part of the layout."""
 
     name: str
     messages: str = ""
@@ -44,6 +49,8 @@ class Mapping:
     fields: tuple[tuple[str, str], ...] = ()  # (role, path), in the order of turns
     joined: tuple[str, str] = ("", "")  # a path whose text follows another's after a newline
     optional: tuple[str, ...] = ()
+    ignorable: tuple[str, ...] = ("id", "conv_id", "conversation_id", "record_id", "lang", "language", "category", "source", "dataset", "model", "score", "rating", "date", "timestamp", "created_at", "updated_at", "url", "license", "split", "topic", "tags", "labels", "metadata", "meta", "extra")
+    rename: bool = True  # other names of the canonical roles become these
 
     def paths(self) -> set[str]:
         if self.messages:
@@ -55,29 +62,24 @@ class Mapping:
         return [self.paths() - set(gone) for n in range(len(self.optional) + 1) for gone in combinations(self.optional, n)]
 
 
+#: Names that may also stand in a message.
+_IN_MESSAGE = ("name", "weight", "end_turn", "recipient", "tool_call_id", "loss")
+_ALL = Mapping.ignorable
+
 MAPPINGS = (
-    Mapping("turns", "turns", "role", "text", optional=("turns[].turn", "conv_id")),
-    Mapping("messages", "messages", "role", "content", optional=("conv_id", "id")),
-    Mapping("conversations", "conversations", "from", "value", optional=("conv_id", "id")),
-    Mapping("instruction", fields=(("system", "system"), ("user", "instruction"), (ASSISTANT, "output")), joined=("instruction", "input"), optional=("system", "input", "conv_id", "id")),
-    Mapping("prompt-response", fields=(("system", "system"), ("user", "prompt"), (ASSISTANT, "response")), optional=("system", "conv_id", "id")),
-    Mapping("prompt-completion", fields=(("user", "prompt"), (ASSISTANT, "completion")), optional=("conv_id", "id")),
-    Mapping("question-answer", fields=(("system", "system"), ("user", "question"), (ASSISTANT, "answer")), optional=("system", "conv_id", "id")),
+    Mapping("turns", "turns", "role", "text", optional=("turns[].turn",), ignorable=_ALL + _IN_MESSAGE, rename=False),
+    Mapping("messages", "messages", "role", "content", ignorable=_ALL + _IN_MESSAGE),
+    Mapping("conversations", "conversations", "from", "value", ignorable=_ALL + _IN_MESSAGE),
+    Mapping("instruction", fields=(("system", "system"), ("user", "instruction"), (ASSISTANT, "output")), joined=("instruction", "input"), optional=("system", "input")),
+    Mapping("prompt-response", fields=(("system", "system"), ("user", "prompt"), (ASSISTANT, "response")), optional=("system",)),
+    Mapping("prompt-completion", fields=(("system", "system"), ("user", "prompt"), (ASSISTANT, "completion")), optional=("system",)),
+    Mapping("question-answer", fields=(("system", "system"), ("user", "question"), (ASSISTANT, "answer")), optional=("system",)),
 )
 
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 
 
-def type_paths(kind: T.DataType, prefix: str = "") -> set[str]:
-    """The nested field paths of a type; [] stands for the elements of an array."""
-    if isinstance(kind, T.StructType):
-        return {p for f in kind.fields for p in type_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)}
-    if isinstance(kind, T.ArrayType):
-        return type_paths(kind.elementType, f"{prefix}[]")
-    return {prefix}
-
-
 def _skeleton(paths: set[str]) -> str:
     """What is left of a variant schema with these paths once the scalar types are gone."""
     tree: dict = {}
@@ -102,14 +104,17 @@ def skeleton_of(variant: Column) -> Column:
     return F.regexp_replace(schema, r"(?<=(: |<|^))(VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|STRING|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)", "*")
 
 
-def fingerprint(skeleton: str | Column) -> Column:
-    return F.xxhash64(F.lit(skeleton) if isinstance(skeleton, str) else skeleton)
+def _without(skeleton: Column, names: tuple[str, ...], depth: int = 4) -> Column:
+    """The skeleton without what stands under these names: scalars, and lists and objects down to a depth."""
+    inner = "[^<>]*+"
+    for _ in range(depth):
+        inner = f"(?:[^<>]++|<{inner}>)*+"
+    out = F.regexp_replace(skeleton, r"(?<=[ <])(?:" + "|".join(names) + r"): (?:\*|(?:ARRAY|OBJECT)<" + inner + r">)(?:, |(?=>))", "")
+    return F.regexp_replace(out, ", (?=>)", "")
 
 
-def mapping_for_schema(schema: T.StructType) -> Mapping | None:
-    """The mapping of a typed table's layout."""
-    wanted = _skeleton(type_paths(schema))
-    return next((m for m in MAPPINGS for paths in m.layouts() if _skeleton(paths) == wanted), None)
+def fingerprint(skeleton: str | Column) -> Column:
+    return F.xxhash64(F.lit(skeleton) if isinstance(skeleton, str) else skeleton)
 
 
 def _role(role: Column) -> Column:
@@ -122,9 +127,9 @@ def _role(role: Column) -> Column:
 TURNS = "array<struct<seq:bigint,role:string,text:string>>"
 
 
-def _turns(m: Mapping, field, messages, rename: bool) -> Column:
+def _turns(m: Mapping, field, messages) -> Column:
     """Canonical turns; field(path) reads a text and messages(m) a list of structs (role, text)."""
-    role = _role if rename else (lambda r: F.coalesce(r, F.lit("")))
+    role = _role if m.rename else (lambda r: F.coalesce(r, F.lit("")))
     if m.messages:
         found = F.coalesce(messages(m), F.lit(None).cast("array<struct<role:string,text:string>>"))
         turns = F.transform(found, lambda x, i: F.struct(i.cast("long").alias("seq"), role(x["role"]).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
@@ -143,50 +148,51 @@ def _turns(m: Mapping, field, messages, rename: bool) -> Column:
     return turns.cast(TURNS)
 
 
-def from_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, layout, turns) of JSON records; each row's own fingerprint selects its mapping."""
-    v = F.try_parse_json(F.col(json_col))
-    rows = records.select(F.col(id_col).cast("long").alias("id"), v.alias("__v")).withColumn("__fp", fingerprint(skeleton_of(F.col("__v"))))
+def from_variants(records: DataFrame) -> DataFrame:
+    """(id, layout, turns) of records (id, v); each row's own fingerprint selects its mapping."""
 
     def field(path: str) -> Column:
-        return F.try_variant_get("__v", f"$.{path}", "string")
+        return F.try_variant_get("v", f"$.{path}", "string")
 
     def messages(m: Mapping) -> Column:
-        got = F.try_variant_get("__v", f"$.{m.messages}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        got = F.try_variant_get("v", f"$.{m.messages}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
         return F.transform(got, lambda x: F.struct(x[m.role].alias("role"), x[m.text].alias("text")))
 
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    fps = {m.name: [_skeleton(p) for p in m.layouts()] for m in MAPPINGS}
+    rows = records.withColumn("__skeleton", skeleton_of(F.col("v")))
+    names = {m.ignorable: f"__fp{k}" for k, m in enumerate({m.ignorable: m for m in MAPPINGS}.values())}
+    rows = rows.withColumns({name: fingerprint(_without(F.col("__skeleton"), ignorable)) for ignorable, name in names.items()})
+    layout = F.lit(None).cast("string")
+    for m in reversed(MAPPINGS):
+        layout = F.when(F.col(names[m.ignorable]).isin(*(fingerprint(_skeleton(p)) for p in m.layouts())), m.name).otherwise(layout)
+    rows = rows.withColumn("layout", layout)
+    turns = F.array().cast(TURNS)
     for m in reversed(MAPPINGS):
-        mine = F.col("__fp").isin(*(fingerprint(s) for s in fps[m.name]))
-        layout = F.when(mine, m.name).otherwise(layout)
-        turns = F.when(mine, _turns(m, field, messages, True)).otherwise(turns)
-    return rows.select("id", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
+        turns = F.when(F.col("layout") == m.name, F.coalesce(_turns(m, field, messages), F.array().cast(TURNS))).otherwise(turns)
+    return rows.select("id", "layout", turns.alias("turns"))
+
+
+def from_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, layout, turns) of JSON records."""
+    return from_variants(records.select(column(id_col).alias("id"), F.try_parse_json(column(json_col)).alias("v")))
 
 
 def from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, layout, turns) of a table with a row for each turn. Its rows are gathered into records
-    {turns: [{turn, role, text}]}, whose schema's fingerprint selects the mapping."""
-    one = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    records = rows.select(F.col(id_col).cast("long").alias("__id"), one.alias("__one")).groupBy("__id").agg(F.sort_array(F.collect_list("__one")).alias("turns"))
+    {turns: [{turn, role, text}]}."""
+    one = F.struct(column(turn_col).cast("long").alias("turn"), F.coalesce(column(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
+    records = rows.select(column(id_col).alias("__id"), one.alias("__one")).groupBy("__id").agg(F.sort_array(F.collect_list("__one")).alias("turns"))
     return from_typed(records, "__id")
 
 
 def from_typed(records: DataFrame, id_col: str) -> DataFrame:
-    """(id, layout, turns) of a table of nested records, all of the schema's layout."""
-    body = T.StructType([f for f in records.schema.fields if f.name != id_col])
-    m = mapping_for_schema(body)
-    if m is None:
-        raise ValueError(f"no mapping for the layout {_skeleton(type_paths(body))}")
-    present = type_paths(body)
-
-    def field(path: str) -> Column:
-        return F.col(path).cast("string") if path in present else F.lit(None).cast("string")
+    """(id, layout, turns) of a table of nested records."""
+    body = F.struct(*(column(x) for x in records.columns if x != id_col))
+    return from_variants(records.select(column(id_col).alias("id"), F.to_variant_object(body).alias("v")))
 
-    def messages(m: Mapping) -> Column:
-        return F.transform(F.col(m.messages), lambda x: F.struct(x[m.role].alias("role"), x[m.text].alias("text")))
 
-    return records.select(F.col(id_col).cast("long").alias("id"), F.lit(m.name).alias("layout"), _turns(m, field, messages, False).alias("turns"))
+def layout_counts(chats: DataFrame) -> DataFrame:
+    """(layout, n): the records of each layout; those that no mapping reads have none."""
+    return chats.groupBy("layout").agg(F.count("*").alias("n"))
 
 
 def escape(text: Column) -> Column:
