@@ -177,6 +177,12 @@ LAYOUTS = [
     ({"question": "q", "answer": 4}, "question-answer", [("user", "q"), ("assistant", "4")]),
     ({"unknown": 1}, None, []),
     ({"messages": []}, None, []),
+    ({"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "name": "bot", "content": "a"}]}, "messages", [("user", "u"), ("assistant", "a")]),
+    ({"lang": "en", "messages": [{"role": "user", "content": "u"}], "metadata": {"a": {"b": [1, {"c": 2}]}, "d": None}, "tags": ["x"]}, "messages", [("user", "u")]),
+    ({"category": "c", "prompt": "p", "response": "r"}, "prompt-response", [("user", "p"), ("assistant", "r")]),
+    ({"prompt": "p", "response": "r", "surprise": 1}, None, []),
+    ({"turns": [{"turn": 0, "role": "human", "text": "as it is"}]}, "turns", [("human", "as it is")]),
+    ({"instruction": "x" * 300_000, "output": "o\u0000"}, "instruction", [("user", "x" * 300_000), ("assistant", "o\u0000")]),
 ]
 
 
@@ -189,6 +195,8 @@ def test_layouts_are_recognised_and_formatting_is_undone(spark):
         assert [(t.role, t.text) for t in got[k].turns] == turns == [(t.role, t.text) for t in got[k].back]
         assert got[k].loss == [t for r, t in turns if r == "assistant"]
     assert got[98].layout is None and got[99].turns == []
+    counts = {r.layout: r.n for r in chat.layout_counts(chats).collect()}
+    assert counts[None] == 2 + sum(layout is None for _, layout, _ in LAYOUTS)
 
 
 def test_rows_to_chats_in_order(spark):
@@ -201,8 +209,10 @@ def test_rows_to_chats_in_order(spark):
     assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (4, len(odd), hashlib.sha256(odd.encode()).hexdigest())
     assert got[None].n_turns == 1 and got[2].loss_chars == 0
     assert chat.format_turns(chat.from_rows(df.limit(0))).count() == 0
-    with pytest.raises(ValueError):
-        chat.from_typed(df.select("conv_id", "role"), "conv_id")
+    typed = chat.from_typed(df.select("conv_id", "role"), "conv_id")
+    assert {r.layout for r in typed.collect()} == {None} and chat.layout_counts(typed).first().n == len(data)
+    # rows go by their fingerprints like any record
+    assert [(r.layout, r.n) for r in chat.layout_counts(chat.from_rows(df)).collect()] == [("turns", 3)]
 
 
 # ---- 4 sharding
@@ -553,6 +563,52 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert quality.consistency() == pytest.approx(1.4864, abs=1e-3)
 
 
+def _best_subset(x, h, tries, seed):
+    """The least log determinant over subsets of h rows, by concentration to the end from many random starts."""
+    rng, floor, c = np.random.default_rng(seed), np.diag(np.square(quality.FLOORS)), quality.consistency()
+    best = (math.inf, None, None)
+    for _ in range(tries):
+        mine = rng.choice(len(x), 6, replace=False)
+        for _ in range(40):
+            mean, cov = x[mine].mean(axis=0), c * np.cov(x[mine].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.argsort(d, kind="stable")[:h]
+            if set(new) == set(mine):
+                break
+            mine = new
+        det = np.linalg.slogdet(cov)[1]
+        if det < best[0]:
+            best = (det, mean, cov)
+    return best
+
+
+def test_estimates_are_those_of_the_best_subset(spark):
+    """Groups with correlated statistics and with a fifth of the rows far off in one direction."""
+    rng, groups = np.random.default_rng(7), {}
+    for k, (n, bad) in enumerate([(120, 0), (200, 40), (400, 80), (160, 30)]):
+        mix = rng.normal(size=(4, 4)) * (0.4 + k)
+        x = rng.normal(size=(n, 4)) @ mix + rng.normal(size=4)
+        x[:bad] = rng.normal(size=(bad, 4)) * 0.2 + x.mean(axis=0) + 9 * np.abs(mix).sum(axis=0)
+        groups[f"g{k}"] = (x, bad)
+    groups["still"] = (np.tile([1.0, 0.0, 0.0, 0.5], (100, 1)), 0)  # all rows alike
+    df = spark.createDataFrame([(g, *map(float, r)) for g, (x, _) in groups.items() for r in x], "key string, x0 double, x1 double, x2 double, x3 double")
+    got = {r.key: r for r in quality.estimates(df).collect()}
+    assert got.keys() == groups.keys()
+    for g, (x, bad) in groups.items():
+        det, mean, cov = _best_subset(x, round(quality.H * len(x)), 150, 3)
+        assert got[g].n == len(x) and got[g].logdet == pytest.approx(det, abs=0.12)
+        verdicts = [np.einsum("ij,jk,ik->i", x - m, p, x - m) <= quality.LIMIT for m, p in ((mean, np.linalg.inv(cov)), (np.array(got[g].mean), np.array(got[g].precision).reshape(4, 4)))]
+        assert (verdicts[0] == verdicts[1]).mean() >= 0.98
+        assert not verdicts[1][:bad].any()
+
+
+def test_groups_with_awkward_names_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    names = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "c"), ("-", "c"), ("1:a", "")]
+    df = spark.createDataFrame([(100 * k + i, _clean(rng, 80), lang, source) for k, (lang, source) in enumerate(names) for i in range(4)], "doc_id long, text string, lang string, source string")
+    assert quality.judge(df).where("kept").count() == df.count()
+
+
 def test_repeats_alone_go_from_a_clean_group(spark):
     rng = np.random.default_rng(4)
     good = [(k, _clean(rng, 200), "en", "s") for k in range(200)]

@@ -3,22 +3,24 @@
 Each text gives base counts (words, symbols, repeated lines and words). Texts that pass the
 base rules have a vector of transformed statistics, and each language and source has a
 minimum-covariance-determinant estimate of centre and scatter: from several
-deterministic starts, concentration steps keep the share H of the group's texts nearest to
+deterministic starts (two of robust scales alone, one with the correlations of squashed values, one with
+those of directions), concentration steps keep the share H of the group's texts nearest to
 the estimate and estimate anew from these, and the start with the smallest
 determinant wins. A text is rejected if its squared Mahalanobis distance from its group's
 centre exceeds the limit.
 
 All texts of a group take part in every step, whatever its size: a step is one
 aggregation of sums and products with map-side pre-aggregation, over histograms of distances
-for the quantile, so the group of a frequent source is never in one task; only a row for
+for the quantile, of whose border bin the share counts that makes the kept mass exactly H; so the group of a frequent source is never in one task; only a row for
 each group and start (and histogram bin) is sent. Small groups borrow: the estimates of
 groups under SMALL texts come from the language, and of small languages from all texts.
 A floor on each variance keeps statistics that most texts share exactly (no
 symbols at all) from making every other value infinitely far.
 
-Defined cases: a null text has no words and fails the base rule; null language or source is a
-group of its own; repeated rows count as often as they stand; an empty table gives an
-empty result.
+Defined cases: a null text has no words and fails the base rule; a very long text is read in blocks and
+is one vector as any other; null language or source is a group of its own; repeated rows count as often
+as they stand; of starts with equal determinants the first wins; a text at the limit is kept; other
+columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, cut
+from .common import arrow_map, column, cut
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -114,7 +116,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counts = [pa.array(np.concatenate(x), pa.int64()) for x in got]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts], [*batch.schema.names[1:], *names])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(g).cast("string").alias(f"g{k}") for k, g in enumerate(groups)))
+    rows = docs.select(column(text_col).cast("string").alias("text"), column(id_col).alias("id"), *(column(g).cast("string").alias(f"g{k}") for k, g in enumerate(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, f"{schema}, " + ", ".join(f"{n} long" for n in names))
 
@@ -201,8 +203,8 @@ def _estimate(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), batch.column("n"), pa.array(means, doubles), pa.array(precisions, doubles), pa.array(dets, pa.float64())], ["key", "start", "n", "mean", "precision", "logdet"])
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Two first estimates for each key: medians, with scales from the quartiles and from the outer deciles."""
+def _centres(rows: DataFrame) -> DataFrame:
+    """(key, n, mid, scale0, scale1) for each key: medians, and scales from the quartiles and from the outer deciles."""
     bins = rows.select("key", F.posexplode(F.array(*_X)).alias("dim", "x")).groupBy("key", "dim", F.floor(F.col("x") / HISTOGRAM_STEP).alias("bin")).count()
     w = Window.partitionBy("key", "dim")
     bins = bins.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("n", F.sum("count").over(w))
@@ -213,27 +215,57 @@ def _starts(rows: DataFrame) -> DataFrame:
     picks = bins.groupBy("key", "dim").agg(F.max("n").alias("n"), *(pick(q).alias(f"q{int(100 * q)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)))
     floors = F.array(*map(F.lit, FLOORS))
     scales = [F.greatest((F.col("q75") - F.col("q25")) / 1.349, floors[F.col("dim")]), F.greatest((F.col("q90") - F.col("q10")) / 2.563, floors[F.col("dim")])]
-    picks = picks.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "q50", *(s.alias(f"scale{k}") for k, s in enumerate(scales))))).alias("d"))
-    out = []
-    for k in range(len(scales)):
-        diagonal = F.flatten(F.transform("d", lambda a, i: F.transform("d", lambda b, j: F.when(i == j, 1 / F.pow(a[f"scale{k}"], 2)).otherwise(0.0))))  # noqa: B023
-        out.append(picks.select("key", F.lit(k).alias("start"), "n", F.transform("d", lambda x: x["q50"]).alias("mean"), diagonal.alias("precision"), F.lit(0.0).alias("logdet")))
-    return out[0].unionByName(out[1])
+    picks = picks.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "q50", *(x.alias(f"scale{k}") for k, x in enumerate(scales))))).alias("d"))
+    return picks.select("key", "n", *(F.transform("d", lambda x: x[f]).alias(to) for f, to in (("q50", "mid"), ("scale0", "scale0"), ("scale1", "scale1"))))  # noqa: B023
+
+
+def _start_estimates(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Four first estimates for each key, from medians, scales and the sums of products of directions and squashed values."""
+    t = {n: np.asarray(batch.column(n)) for n in batch.schema.names if n not in ("key", "mid", "scale0", "scale1")}
+    mids, scales = batch.column("mid").to_pylist(), [batch.column(f"scale{k}").to_pylist() for k in (0, 1)]
+    out: list[tuple] = []
+    for r, key in enumerate(batch.column("key").to_pylist()):
+        n, narrow, wide = t["n"][r], np.array(scales[0][r]), np.array(scales[1][r])
+        squashed, turned = np.empty((_P, _P)), np.empty((_P, _P))
+        for i, j in _PAIRS:
+            squashed[i, j] = squashed[j, i] = t[f"y{i}{j}"][r] / n - t[f"y{i}"][r] / n * t[f"y{j}"][r] / n
+            turned[i, j] = turned[j, i] = t[f"d{i}{j}"][r] / n
+        shapes = [np.eye(_P), np.eye(_P)]
+        for found in (squashed, turned):
+            spread = np.sqrt(np.maximum(np.diag(found), 1e-9))
+            shapes.append(found / np.outer(spread, spread) + 1e-3 * np.eye(_P))
+        for k, (shape, scale) in enumerate(zip(shapes, (narrow, wide, narrow, narrow), strict=True)):
+            out.append((key, k, int(n), mids[r], np.linalg.inv(shape * np.outer(scale, scale)).reshape(-1).tolist(), 0.0))
+    types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(types)], ["key", "start", "n", "mean", "precision", "logdet"])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(key, start, n, mean, precision, logdet): four first estimates of each key."""
+    centres = cut(_centres(rows))
+    z = [(F.col(x) - F.col("mid")[k]) / F.col("scale0")[k] for k, x in enumerate(_X)]
+    d = _with(rows, centres, "key", centres.count()).select("key", "n", "mid", "scale0", "scale1", *(F.tanh(x).alias(f"y{k}") for k, x in enumerate(z)), *(x.alias(f"z{k}") for k, x in enumerate(z)))
+    length = F.greatest(F.sqrt(sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(1, _P)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
+    d = d.withColumns({f"z{k}": F.col(f"z{k}") / length for k in range(_P)})
+    sums = d.groupBy("key").agg(*(F.sum(f"y{k}").alias(f"y{k}") for k in range(_P)), *(F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"y{i}{j}") for i, j in _PAIRS), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"d{i}{j}") for i, j in _PAIRS))
+    return arrow_map(centres.join(sums, "key"), _start_estimates, _ESTIMATE)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(key, n, mean, precision, logdet) of rows (key, x0..): the best minimum-covariance-determinant estimate of each key."""
     best = cut(_starts(rows))
     n = best.count()
     w = Window.partitionBy("key", "start")
-    for _ in range(STEPS):
+    names = ["m", *(f"s{k}" for k in range(_P)), *(f"s{i}{j}" for i, j in _PAIRS)]
+    for _ in range(steps):
         d = _with(rows, best.select("key", "start", "n", "mean", "precision"), "key", n)
         d = d.withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-6)).cast("int"))
-        names = ["m", *(f"s{k}" for k in range(_P)), *(f"s{i}{j}" for i, j in _PAIRS)]
         sums = d.groupBy("key", "start", "n", "bin").agg(F.count("*").alias("m"), *(F.sum(x).alias(f"s{k}") for k, x in enumerate(_X)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS))
         upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.select("key", "start", "n", F.col("m").alias("own"), *(F.sum(c).over(upto).alias(c) for c in names))
-        nearest = sums.where((F.col("m") >= H * F.col("n")) & (F.col("m") - F.col("own") < H * F.col("n"))).drop("own")
+        sums = sums.select("key", "start", "n", *(F.col(x).alias(f"own_{x}") for x in names), *(F.sum(x).over(upto).alias(x) for x in names))
+        # the bin in which the share H is reached counts with the part that makes it exactly H
+        nearest = sums.where((F.col("m") >= H * F.col("n")) & (F.col("m") - F.col("own_m") < H * F.col("n"))).withColumn("over", (F.col("m") - H * F.col("n")) / F.col("own_m"))
+        nearest = nearest.select("key", "start", "n", *((F.col(x) - F.col("over") * F.col(f"own_{x}")).alias(x) for x in names))
         best = cut(arrow_map(nearest, _estimate, _ESTIMATE))
     return cut(best.groupBy("key").agg(F.min_by(F.struct("n", "mean", "precision", "logdet"), F.struct("logdet", "start")).alias("e")).select("key", "e.*"))
 
@@ -241,7 +273,9 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source"), min_words: int = 50, max_repeat: float = 0.5, limit: float = LIMIT) -> DataFrame:
     """(id, base counts, base_failed, distance, kept) of each row; distance is null where the base rule failed."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    keys = [F.concat_ws("\x1f", F.lit(str(k)), *(F.coalesce(f"g{i}", F.lit("\x00")) for i in range(len(groups) - k))) for k in range(len(groups) + 1)]
+    # each part with its length, so that no two groups share a key
+    part = lambda g: F.coalesce(F.concat(F.length(g), F.lit(":"), g), F.lit("-"))
+    keys = [F.concat(F.lit(f"{k};"), *(part(F.col(f"g{i}")) for i in range(len(groups) - k))) for k in range(len(groups) + 1)]
     base = cut(base_counts(docs, id_col, text_col, groups).withColumn("base_failed", failed).select("*", *statistics(), *(k.alias(f"key{i}") for i, k in enumerate(keys))))
     good = base.where("not base_failed")
     # the group itself if it has enough texts, else the language, else everything
