@@ -227,6 +227,10 @@ def test_lookup_table_is_fair_and_stable(spark):
     assert sum(a != b for a, b in zip(table, more, strict=True)) < 503 * 0.35
     with pytest.raises(ValueError):
         sharding.lookup_table(names, 500)
+    odd = sharding.place(documents(spark).withColumn("a.b", F.lit(1)).withColumn("slot", F.lit("own")))
+    assert odd.columns[-3:] == ["a.b", "slot", "shard"] and odd.schema["slot"].dataType.simpleString() == "bigint"
+    large = sharding.place(spark.range(5).select(F.col("id").alias("doc_id")), slots=104_729)
+    assert [r.shard for r in large.collect()] == [sharding.lookup_table(sharding.shard_names(), 104_729)[sharding.hash60(str(k)) % 104_729] for k in range(5)]
     got = sharding.place(documents(spark))
     assert got.columns == [c for c in documents(spark).columns if c not in ("slot", "shard")] + ["slot", "shard"]
     whole = sharding.lookup_table(sharding.shard_names())
@@ -476,13 +480,28 @@ def test_links_are_those_of_all_pairs_and_chains_join(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=3)
 
 
+def _shingles(text, k=5):
+    w = SPACE.findall((text or "").translate(LOWER))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
 def test_one_of_each_group_stays(spark):
-    docs = documents(spark)
-    kept = simhash.keep_one(docs, shingle=3)
-    groups = {r.id: r.component for r in simhash.near_duplicates(docs).collect()}
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    docs = documents(spark).withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), F.col("n_chars")), "__n": F.lit("x"), "row": F.lit(0), "key": F.lit("y"), "c0": F.lit(2)})
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(i for i in ids if i is not None) == sorted({c for c in groups.values() if c is not None}) and ids.count(None) == 1
+    data = [(r[0], r[1]) for r in rows()]
+    sets, fps = [_shingles(t) for _, t in data], [_fingerprint(t, 5) for _, t in data]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    left, expect = set(range(len(data))), []
+    while left:
+        group = {left.pop()}
+        while more := {j for j in left if any(near(i, j) for i in group)}:
+            group |= more
+            left -= more
+        expect.append(min((data[i][0] for i in group if data[i][0] is not None), default=None))
+    assert sorted(map(str, (r.doc_id for r in kept.select("doc_id").collect()))) == sorted(map(str, expect))
+    texts = docs.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    assert simhash.keep_one(texts).count() == kept.count() and simhash.near_duplicates(texts).count() == docs.count()
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
@@ -507,7 +526,7 @@ def test_near_copies_of_similarity_0_8_go(spark):
     assert sum(0.8 <= s < 0.83 for _, s in planted) > 20
     docs = spark.createDataFrame([*data, (1000, None), (1001, ""), (None, data[0][1])], "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
-    assert kept == {2 * k for k in range(160)} | {i for i, s in planted if s < 0.8} | {1000, None}
+    assert kept == {2 * k for k in range(160)} | {i for i, s in planted if s < 0.8} | {1000}
     assert simhash.keep_one(empty(spark), similarity=0.8).count() == 0
 
 

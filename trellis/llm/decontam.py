@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import arrow_map, column, cut, map_rows
 
 #: Words of one automaton at most, unless a single item has more.
 SLICE_WORDS = 200_000
@@ -160,9 +161,8 @@ def _hash_items(batch: pa.RecordBatch) -> pa.RecordBatch:
 def slices(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> list:
     """Broadcasts of the automata of all items; the driver holds one slice at a time."""
     spark = benchmark.sparkSession
-    from .common import arrow_map, cut
-
-    hashed = arrow_map(benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), _hash_items, "id long, words binary").where("length(words) > 0")
+    items = benchmark.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    hashed = arrow_map(items, _hash_items, f"id {items.schema['id'].dataType.simpleString()}, words binary").where("length(words) > 0")
     hashed = cut(hashed)
     total = hashed.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     n = max(1, -(-int(total) // slice_words))
@@ -194,6 +194,7 @@ def _scan(col: pa.Array, shared: list) -> Iterator[tuple[int, int, W.Words, np.n
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_hit, items): words, hit words and the ids of the items found, for each row."""
     shared = slices(benchmark, item_id, item_text, window)
+    kind, items_type = (pa.string(), "string") if benchmark.schema[item_id].dataType.simpleString() == "string" else (pa.int64(), "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +204,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 hits.append(np.bincount(found.row[hit], minlength=j - i))
                 ids += [sorted(x for x in items.get(r, ()) if x is not None) for r in range(j - i)]
             if words:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(hits), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["id", "n_words", "n_hit", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(hits), pa.int64()), pa.array(ids, pa.list_(kind))], ["id", "n_words", "n_hit", "items"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n_words long, n_hit long, items array<bigint>")
+    narrow = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, n_words long, n_hit long, items array<{items_type}>")
 
 
 def digest(items: list) -> str:
@@ -237,26 +238,25 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
                 last = int(found.ends[b - 1])
             text = b"".join([*out, text[last:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(at)
-            new: dict[int, bytes | None] = {}
-            for i, _, found, hit, _ in _scan(col, shared):
-                for r in np.unique(found.row[hit]).tolist():
-                    new[i + r] = clean(col[i + r].as_py().encode())
-            if new:
-                texts = col.to_pylist()
-                for r, text in new.items():
-                    texts[r] = None if text is None else text.decode()
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, col.type))
-                if length_at is not None:
-                    lengths = batch.column(length_at).to_pylist()
-                    for r, text in new.items():
-                        lengths[r] = len(texts[r]) if text is not None else None
-                    batch = batch.set_column(length_at, batch.schema.field(length_at), pa.array(lengths, batch.column(length_at).type))
-                gone = np.ones(batch.num_rows, bool)
-                gone[[r for r, text in new.items() if text is None]] = False
-                batch = batch.filter(pa.array(gone))
-            yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        col = batch.column(at)
+        new: dict[int, bytes | None] = {}
+        for i, _, found, hit, _ in _scan(col, shared):
+            for r in np.unique(found.row[hit]).tolist():
+                new[i + r] = clean(col[i + r].as_py().encode())
+        if not new:
+            return batch
+        texts = col.to_pylist()
+        for r, text in new.items():
+            texts[r] = None if text is None else text.decode()
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, col.type))
+        if length_at is not None:
+            lengths = batch.column(length_at).to_pylist()
+            for r, text in new.items():
+                lengths[r] = len(texts[r]) if text is not None else None
+            batch = batch.set_column(length_at, batch.schema.field(length_at), pa.array(lengths, batch.column(length_at).type))
+        gone = np.ones(batch.num_rows, bool)
+        gone[[r for r, text in new.items() if text is None]] = False
+        return batch.filter(pa.array(gone))
+
+    return map_rows(docs, run)

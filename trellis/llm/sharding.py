@@ -4,10 +4,11 @@ Every shard has a preference order over the slots of a table of prime size, give
 an offset and a step from hashes of its name. Shards take turns, each claiming its
 most preferred free slot, until the table is full, so that shards own equally many slots but
 for one, and adding a shard moves few slots. A key's slot is its hash modulo the
-table size; the table travels as a literal, so placing a row is one array access.
+table size; the table travels as one literal, so placing a row is one array access.
 
-Defined cases: a null key counts as empty text; equal keys share a shard; an empty
-table gives an empty result.
+Defined cases: a null key counts as empty text; equal keys share a shard, so repeated rows do; a very
+long key is hashed whole; columns slot and shard that the table has already are replaced (unless one of
+them is the key), all others, whatever their names, are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 SHARDS, SLOTS = 16, 1_627
 #: The largest table that may travel with the tasks.
 MAX_SLOTS = 1 << 20
@@ -51,11 +54,13 @@ def shard_names(n: int = SHARDS) -> list[str]:
     return [f"shard-{k:04d}" for k in range(n)]
 
 
-def place(docs: DataFrame, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
-    """docs with columns slot and shard."""
-    table = F.array(*map(F.lit, lookup_table(names or shard_names(), slots)))
-    docs = docs.drop("slot", "shard") if key not in ("slot", "shard") else docs
-    return docs.withColumn("slot", slot_of(F.col(key), slots)).withColumn("shard", F.element_at(table, (F.col("slot") + 1).cast("int")))
+def place(docs: DataFrame, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """docs with columns for the slot and the shard."""
+    # one text, which the optimiser folds into one array
+    table = F.split(F.lit(",".join(map(str, lookup_table(names or shard_names(), slots)))), ",").cast("array<int>")
+    slot = slot_of(column(key), slots)
+    own = [column(x) for x in docs.columns if x not in (slot_col, shard_col) or x == key]
+    return docs.select(*own, slot.alias(slot_col), F.element_at(table, (slot + 1).cast("int")).alias(shard_col))
 
 
 #: The same table by recursion in DuckDB: state is the owners so far, one turn a row.

@@ -15,9 +15,10 @@ share a band of minima are compared in full, and those of Jaccard similarity 0.8
 linked too.
 
 Defined cases: null and blank texts have no words and the fingerprint 0, linked like
-any other; a text of fewer words than a shingle is one shingle; repeated rows are
-copies; a null id never becomes a component's name unless a whole component has
-none; an empty table gives an empty result. Other columns are ignored.
+any other; a text of fewer words than a shingle is one shingle; very long texts are read in blocks; repeated rows are
+copies; ids may be of any type that has an order, and repeat; a null id never becomes a component's name unless a whole
+component has none; an empty table gives an empty result. Other columns, whatever their names and types, are ignored,
+and keep_one hands them on.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut as cut_to_table
-from .common import arrow_map, cut
+from .common import arrow_map, column, cut
 from .words import mix
 
 SEED = 42
@@ -93,7 +94,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = batch.column(1).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py() or b"", shingle, seed) for x in texts], pa.int64())], ["id", "fp"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _variants(radius: int) -> list[int]:
@@ -195,9 +197,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
         made = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "key", "fp", "node", "n", "bands"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return arrow_map(rows, run, "id long, key long, fp long, node long, n long, bands array<long>")
+    text = column(text_col).cast("string")
+    rows = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, node long, n long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -207,7 +209,7 @@ def _shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int)
         sets = [_set(list(_shingle_hashes(x.as_py() or b"", shingle, SEED))).view(np.int64) for x in batch.column(1).cast(pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    text = F.col(text_col).cast("string")
+    text = column(text_col).cast("string")
     some = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(some, "key").groupBy("node").agg(F.first("text").alias("text"))
     return arrow_map(texts.select("node", "text"), run, "node long, shingles array<long>")
@@ -234,8 +236,9 @@ def _similar_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: flo
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """(id, component): near copies have a similarity (Jaccard, of the sets of shingles) of at
-    least this, or fingerprints within the radius; component is the smallest id reachable over them.
+    """(id, key, component, stays) for each row: near copies have a similarity (Jaccard, of the sets of shingles) of at
+    least this, or fingerprints within the radius; component is the smallest id reachable over them, key the
+    hash of the text, and the rows of one id and text of a group stay.
 
     Candidates share a band of minima, and their sets are compared in full. In a band
     of more than NEIGHBOURS texts each is compared with those next to it in the order of the next
@@ -253,23 +256,32 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = _similar_pairs(docs, sets.join(roots, "node"), width, similarity, text_col, shingle)
         merged = components(found.union(roots.where("node != root")))
         roots = cut(sets.select("node").join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    nodes = cut(rows.select("id", "node").join(roots, "node").select("id", "root"))
-    named = nodes.groupBy("root").agg(F.min("id").alias("component"))
-    return nodes.join(named, "root").select("id", "component")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float | None = None) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the smallest
-    id stays, of rows that repeat this id the first by text; rows without an id stay.
-    Groups are those of fingerprints, with a similarity those of similar_groups."""
-    if similarity is None:
-        groups = near_duplicates(docs, id_col, text_col, shingle, radius)
-    else:
-        groups = cut(similar_groups(docs, id_col, text_col, shingle, radius, similarity))
-    going = groups.where("id > component").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(going, docs[id_col] == going["__id"], "left_anti")
-    twice = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
-    once = kept.join(twice, kept[id_col] == twice["__id"], "left_anti")
-    order = Window.partitionBy(id_col).orderBy(*(F.col(c) for c in kept.columns if c != id_col))
-    again = kept.join(twice, kept[id_col] == twice["__id"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return once.unionByName(again)
+    nodes = cut(rows.select("id", "key", "node").join(roots, "node").select("id", "key", "root"))
+    named = nodes.groupBy("root").agg(F.min("id").alias("component"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    return nodes.join(named, "root").select("id", "key", "component", ((F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.key") == F.col("key"))).alias("stays"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """The documents without near-duplicates, by similar_groups: of each group the row with the smallest id stays (rows
+    without an id come last), of different texts under one id the one with the smaller hash, of rows equal in id and text the
+    first; rows that share an id but not a group are documents of their own."""
+    groups = cut(similar_groups(docs, id_col, text_col, shingle, radius, similarity))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    # plain names in between, so that any name will do
+    plain = docs.toDF(*names)
+    id_at, text_at = (names[docs.columns.index(x)] for x in (id_col, text_col))
+    plain = plain.withColumn("key", F.xxhash64(F.col(text_at).cast("string")))
+
+    def among(pairs: DataFrame, how: str) -> DataFrame:
+        some = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        return plain.join(some, F.col(id_at).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), how)
+
+    pair = [F.col("id").alias("__id"), F.col("key").alias("__key")]
+    again = cut(groups.where("stays").groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__key"))
+    going = cut(groups.where("not stays").select(*pair).distinct().union(again))
+    once = among(going, "left_anti")
+    if not again.isEmpty():
+        rows = cut_to_table(among(again, "left_semi").withColumn("row", F.monotonically_increasing_id()))
+        first = rows.groupBy(id_at, "key").agg(F.min("row").alias("row")).select("row")
+        once = once.unionByName(rows.join(first, "row", "left_semi").drop("row"))
+    return once.select(*names).toDF(*docs.columns)

@@ -217,7 +217,7 @@ class Index:
         cosines, near, read, every = self.nearest(terms, weights)
         if not len(near):
             return self.empty_rate, [], read, every
-        evidence = [{"doc_id": int(i), "toxic": int(y), "cosine": float(c)} for i, y, c in zip(self.ids[near], self.labels[near], cosines, strict=True)]
+        evidence = [{"doc_id": i.item(), "toxic": int(y), "cosine": float(c)} for i, y, c in zip(self.ids[near], self.labels[near], cosines, strict=True)]
         return float(np.interp(self.vote(cosines, near), *self.knots)), evidence, read, every
 
 
@@ -250,7 +250,7 @@ def _calibrated(spark: SparkSession, index: Index) -> Index:
 
 
 def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
-    """An index of labelled texts (id, text, toxic)."""
+    """An index of labelled texts (id, text, toxic); ids are whole numbers or texts."""
     usable = examples.where("id is not null and toxic is not null")
     n = usable.count()
     if n > max_examples:
@@ -280,11 +280,12 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *lists], ["id", "toxic", "terms", "weights"])
 
     # at most max_examples short vectors
-    made = sample.select("id", "text", "toxic").mapInArrow(vectorise, "id long, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id").combine_chunks()
+    made = sample.select("id", "text", "toxic").mapInArrow(vectorise, f"id {sample.schema['id'].dataType.simpleString()}, toxic int, terms array<long>, weights array<double>").toArrow().sort_by("id").combine_chunks()
     sizes = [len(x) for x in made.column("terms")]
     flat = [np.asarray(made.column(c).combine_chunks().flatten()) for c in ("terms", "weights")]
     rows = Vectors(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat[0].astype(np.int64), flat[1].astype(float))
-    return _calibrated(examples.sparkSession, Index(terms, held, np.asarray(made.column("id")), np.asarray(made.column("toxic")), rows))
+    ids = np.array(made.column("id").to_pylist(), dtype=str if pa.types.is_string(made.schema.field("id").type) else np.int64)
+    return _calibrated(examples.sparkSession, Index(terms, held, ids, np.asarray(made.column("toxic")), rows))
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1) -> DataFrame:
@@ -292,8 +293,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: i
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(crc_bucket("doc_id", folds) != held_fold).select(F.col("doc_id").alias("__id"), "toxic")
     # the smallest hashes, before any text is moved
-    known = known.orderBy(F.xxhash64(F.col("__id").cast("long")), "__id").limit(MAX_EXAMPLES)
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).select(F.col("id").cast("long"), "text", "toxic")
+    known = known.orderBy(F.xxhash64("__id"), "__id").limit(MAX_EXAMPLES)
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "text", "toxic")
 
 
 def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple[float, list[dict], int, int]]) -> Iterator[tuple[float, list[dict], int, int]]:
@@ -310,23 +311,22 @@ def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple[float, list[di
             yield known[key]
 
 
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-
-
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence, postings_read, postings_all): evidence holds the nearest examples, nearest first."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    ids, id_type = (pa.string(), "string") if index.ids.dtype.kind == "U" else (pa.int64(), "bigint")
+    kind = pa.list_(pa.struct([("doc_id", ids), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             if batch.num_rows:
                 scores, evidence, read, every = zip(*_scores(shared.value, batch.column(1), known), strict=True)
-                made = [pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE), pa.array(read, pa.int64()), pa.array(every, pa.int64())]
+                made = [pa.array(scores, pa.float64()), pa.array(evidence, kind), pa.array(read, pa.int64()), pa.array(every, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "score", "evidence", "postings_read", "postings_all"])
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>, postings_read long, postings_all long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: {id_type}, toxic: int, cosine: double>>, postings_read long, postings_all long")
 
 
 def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
