@@ -3,7 +3,7 @@
 Terms are words and their first 4 to 7 bytes (so that inflected and compound forms meet).
 Vectors are TF-IDF over the terms of at least MIN_DF examples, each term weighed by how much its
 presence depends on the label (the phi coefficient), of length 1; where there are more
-than MAX_TERMS such terms those that depend least go.
+than MAX_TERMS such terms, or they have more than MAX_POSTINGS postings, those that depend least (by chi squared) go.
 
 The examples' vectors form an inverted index whose postings are cut into blocks of
 BLOCK_ROWS examples. Examples stand in the order of their strongest terms, so that those of a
@@ -19,7 +19,7 @@ the examples without any.
 
 Examples are at most MAX_EXAMPLES labelled rows, those with the smallest hash of the id, one of
 each text. Every text is scored, whole, without a shuffle; index size is
-bounded by MAX_EXAMPLES and MAX_TERMS.
+bounded by MAX_EXAMPLES, MAX_TERMS and MAX_POSTINGS.
 
 Defined cases: null and blank texts count as texts without a term; a very long text is one vector
 as any other, its words read in blocks; of examples of equal cosine the one with the smaller id is nearer; a
@@ -30,6 +30,7 @@ Other columns, whatever their names, are not looked at, and drop_toxic hands the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,8 @@ from .common import column, crc_bucket, cut, map_rows
 #: The bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 12_000
 MAX_TERMS, MIN_DF = 8_192, 2
+#: Postings of the index at most, about what one search may read.
+MAX_POSTINGS = 120_000
 PREFIXES = (4, 5, 6, 7)
 K, BLOCK_ROWS, FIRST_BLOCKS, EPS, PRIOR = 15, 16, 16, 0.05, 0.5
 THRESHOLD = 0.7
@@ -157,31 +160,41 @@ class Index:
         q, block = np.repeat(weights, spread), self.entry_block[entry]
         bound = np.bincount(block, weights=q * self.entry_best[entry], minlength=self.blocks)
         start, end = self.entry[entry], self.entry_end[entry]
-        n, read = len(self.ids), 0
+        read = 0
 
-        def cosines(wanted: np.ndarray) -> np.ndarray:
+        def cosines(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the examples of these blocks: their places and cosines."""
             nonlocal read
-            mine = wanted[block]
+            slot = np.full(self.blocks, -1)
+            slot[blocks] = np.arange(len(blocks))
+            mine = np.flatnonzero(slot[block] >= 0)
             at, lengths = _spans(start[mine], end[mine])
             read += len(at)
-            out = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(q[mine], lengths), minlength=n)
+            example = self.example[at]
+            local = slot[example // BLOCK_ROWS] * BLOCK_ROWS + example % BLOCK_ROWS
+            out = np.bincount(local, weights=self.weight[at] * np.repeat(q[mine], lengths), minlength=len(blocks) * BLOCK_ROWS)
+            some = np.flatnonzero(out)
+            places = blocks[some // BLOCK_ROWS] * BLOCK_ROWS + some % BLOCK_ROWS
             if leave >= 0:
-                out[leave] = 0.0
-            return out
+                some, places = some[places != leave], places[places != leave]
+            return places, out[some]
 
         def kth(values: np.ndarray) -> float:
-            return float(np.partition(values, n - K)[n - K]) if n >= K else 0.0
+            return float(np.partition(values, len(values) - K)[len(values) - K]) if len(values) >= K else 0.0
 
-        first = np.zeros(self.blocks, bool)
         few = min(FIRST_BLOCKS, self.blocks)
-        first[np.argpartition(-bound, few - 1)[:few]] = True
-        found = cosines(first)
-        rest = ~first & (bound > 0) & (bound + 1e-12 >= kth(found))
-        if rest.any():
-            found += cosines(rest)
-        near = np.flatnonzero(found >= max(kth(found), 1e-12))
-        near = near[np.lexsort((self.ids[near], -found[near]))][:K]
-        return found[near], near, read, int((end - start).sum())
+        first = np.argpartition(-bound, few - 1)[:few]
+        near, found = cosines(first)
+        more = (bound > 0) & (bound + 1e-12 >= kth(found))
+        more[first] = False
+        rest = np.flatnonzero(more)
+        if len(rest):
+            others = cosines(rest)
+            near, found = np.concatenate([near, others[0]]), np.concatenate([found, others[1]])
+        good = np.flatnonzero(found >= max(kth(found), 1e-12))
+        near, found = near[good], found[good]
+        order = np.lexsort((self.ids[near], -found))[:K]
+        return found[order], near[order], read, int((end - start).sum())
 
     def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
         weights = 1 / (EPS + np.maximum(0.0, 1 - cosines))
@@ -212,13 +225,11 @@ class Index:
             y = np.maximum.accumulate([(p[0] + p[2] / p[1]) / (p[1] + 1) for p in pools])
             self.knots = (np.array([0.0, *(x for p in pools for x in p[3:]), 1.0]), np.array([0.0, *np.repeat(y, 2), 1.0]))
 
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[dict], int, int]:
-        """The probability, the evidence, and postings read and all."""
+    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int, int]:
+        """The probability, the nearest examples' places and cosines, and postings read and all."""
         cosines, near, read, every = self.nearest(terms, weights)
-        if not len(near):
-            return self.empty_rate, [], read, every
-        evidence = [{"doc_id": i.item(), "toxic": int(y), "cosine": float(c)} for i, y, c in zip(self.ids[near], self.labels[near], cosines, strict=True)]
-        return float(np.interp(self.vote(cosines, near), *self.knots)), evidence, read, every
+        probability = float(np.interp(self.vote(cosines, near), *self.knots)) if len(near) else self.empty_rate
+        return probability, near, cosines, read, every
 
 
 def vectors(found: W.Words, n: int, terms: W.HashSet, weights: np.ndarray) -> Vectors:
@@ -256,7 +267,7 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int =
     if n > max_examples:
         order = F.struct(F.xxhash64("id"), "id")
         last = usable.select(order.alias("o")).orderBy("o").limit(max_examples).agg(F.max("o").alias("o")).first().o
-        usable = usable.where(order <= F.struct(F.lit(last[0]), F.lit(last[1])))
+        usable = usable.where(order <= F.struct(F.lit(last[0]).cast("bigint"), F.lit(last[1]).cast(usable.schema["id"].dataType)))
     sample = cut(usable.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")))
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     bad = bad or 0
@@ -265,6 +276,9 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int =
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     chi2 = F.try_divide(n * F.pow(a * (clean - b) - b * (bad - a), 2), bad * clean * (a + b) * (n - a - b))
     strongest = df.where(a + b >= MIN_DF).withColumn("chi2", chi2).where("chi2 > 0").orderBy(F.desc("chi2"), "term").limit(max_terms).toArrow()
+    # the strongest whose postings the index has room for
+    room = np.cumsum(np.asarray(strongest.column("clean")) + np.asarray(strongest.column("toxic"))) <= MAX_POSTINGS
+    strongest = strongest.slice(0, int(room.sum()))
     keys = np.asarray(strongest.column("term")).view(np.uint64)
     terms = W.HashSet(keys)
     held = np.zeros((2, len(keys)), np.int64)
@@ -288,26 +302,26 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int =
     return _calibrated(examples.sparkSession, Index(terms, held, ids, np.asarray(made.column("toxic")), rows))
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1) -> DataFrame:
-    """Labelled texts outside the held-out fold."""
+def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """Labelled texts outside the held-out fold, at most so many labels."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(crc_bucket("doc_id", folds) != held_fold).select(F.col("doc_id").alias("__id"), "toxic")
     # the smallest hashes, before any text is moved
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(MAX_EXAMPLES)
+    known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_examples)
     return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "text", "toxic")
 
 
-def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple[float, list[dict], int, int]]) -> Iterator[tuple[float, list[dict], int, int]]:
-    """What Index.score gives for each text; known remembers the results of vectors."""
+def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple], keep: int | None = None) -> Iterator[tuple]:
+    """What Index.score gives for each text, or the first `keep` of it; known remembers the results of vectors."""
     for i, j, found in W.word_chunks(col, W.ALNUM):
         made = vectors(found, j - i, model.terms, model.weights)
         for r in range(len(made)):
             terms, weights = made.row(r)
-            key = terms.tobytes() + weights.tobytes()
+            key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
             if key not in known:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known[key] = model.score(terms, weights)
+                known[key] = model.score(terms, weights)[:keep]
             yield known[key]
 
 
@@ -315,15 +329,17 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """(id, score, evidence, postings_read, postings_all): evidence holds the nearest examples, nearest first."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     ids, id_type = (pa.string(), "string") if index.ids.dtype.kind == "U" else (pa.int64(), "bigint")
-    kind = pa.list_(pa.struct([("doc_id", ids), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             if batch.num_rows:
-                scores, evidence, read, every = zip(*_scores(shared.value, batch.column(1), known), strict=True)
-                made = [pa.array(scores, pa.float64()), pa.array(evidence, kind), pa.array(read, pa.int64()), pa.array(every, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "score", "evidence", "postings_read", "postings_all"])
+                model = shared.value
+                scores, near, cosines, read, every = zip(*_scores(model, batch.column(1), known), strict=True)
+                first, places = np.concatenate([[0], np.cumsum([len(x) for x in near])]), np.concatenate(near).astype(np.int64)
+                parts = [pa.array(model.ids[places], ids), pa.array(model.labels[places].astype(np.int32)), pa.array(np.concatenate(cosines))]
+                evidence = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "toxic", "cosine"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, pa.array(read, pa.int64()), pa.array(every, pa.int64())], ["id", "score", "evidence", "postings_read", "postings_all"])
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: {id_type}, toxic: int, cosine: double>>, postings_read long, postings_all long")
@@ -336,6 +352,6 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold:
     known: dict = {}  # each task gets one of its own
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([s < threshold for s, *_ in _scores(shared.value, batch.column(at), known)], pa.bool_()))
+        return batch.filter(pa.array([s < threshold for s, in _scores(shared.value, batch.column(at), known, keep=1)], pa.bool_()))
 
     return map_rows(docs, run)
