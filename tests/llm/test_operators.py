@@ -538,6 +538,35 @@ def test_near_copies_in_a_crowded_band_go(spark):
     assert [r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()] == [0]
 
 
+def test_pairs_far_apart_in_a_crowded_band_are_linked(spark, monkeypatch):
+    """With next neighbours alone, links between different groups of a crowded band are missed; with all compared none is."""
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 5_000, 300)]
+    data = []
+    for family in range(25):  # families share 0.5 to 0.7 of their shingles, members of a family 0.7 to 0.95
+        at, n = int(rng.integers(0, 200)), int(rng.integers(40, 80))
+        head = base[:at] + [f"f{family}-{x}" for x in range(n)] + base[at + n :]
+        for member in range(8):
+            cut_at, m = int(rng.integers(0, 250)), int(rng.integers(1, 30))
+            data.append((len(data), " ".join(head[:cut_at] + [f"m{len(data)}-{x}" for x in range(m)] + head[cut_at + m :])))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets, fps = [_shingles(t) for _, t in data], [_fingerprint(t, 5) for _, t in data]
+    low = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if low[i] != low[j] and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 2):
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
+    monkeypatch.setattr(simhash, "PART_SETS", 16)
+    calls = []
+    crowded = simhash._crowded_pairs
+    monkeypatch.setattr(simhash, "_crowded_pairs", lambda *a: calls.append(crowded(*a)) or calls[-1])
+    found = {r.id: r.component for r in simhash.similar_groups(docs).collect()}
+    assert found == dict(enumerate(low)) and len(set(low)) > 25
+    assert calls[0].count() > 0
+
+
 # ---- 9 quality
 
 

@@ -11,8 +11,8 @@ from the start; so no group is large. Components come from alternating star
 contraction, with a table in the shared folder each round.
 
 The pipeline's stage adds what the radius can't reach (similar_groups): sets of shingles that
-share a band of minima are compared in full, and those of Jaccard similarity 0.8 or more are
-linked too.
+share a band of minima are compared in full, in bands of any size, and those of Jaccard similarity 0.8 or more
+are linked too.
 
 Defined cases: null and blank texts have no words and the fingerprint 0, linked like
 any other; a text of fewer words than a shingle is one shingle; very long texts are read in blocks; repeated rows are
@@ -23,6 +23,7 @@ and keep_one hands them on.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -162,6 +163,10 @@ BANDS, BAND_ROWS = 20, 5
 NEIGHBOURS = 64
 #: Rows of keys that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Longs of a set's outline, a bit for each bin that holds one of its shingles.
+OUTLINE = 16
+#: Sets of a crowded band that are compared with the others in one task.
+PART_SETS = 4096
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.arange(BANDS, dtype=np.uint64)
 
@@ -182,11 +187,18 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def _outline(hashes: np.ndarray) -> list[int]:
+    """The bins that a set of shingles occupies: 64 * OUTLINE bits as longs."""
+    bits = np.zeros(64 * OUTLINE, np.uint8)
+    bits[(hashes % np.uint64(64 * OUTLINE)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, fp, node, n, bands): node stands for the set of a row's n shingles, key for its text."""
+    """(id, key, fp, node, n, bands, outline): node stands for the set of a row's n shingles, key for its text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, nodes, sizes, bands = [], [], [], []
+        fps, nodes, sizes, bands, outlines = [], [], [], [], []
         for x in batch.column(2).cast(pa.binary()):
             parts = list(_shingle_hashes(x.as_py() or b"", shingle, SEED))
             own = _set(parts)
@@ -194,12 +206,13 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
             nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
             sizes.append(len(own))
             bands.append(_bands(own))
-        made = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "key", "fp", "node", "n", "bands"])
+            outlines.append(_outline(own))
+        made = [*(pa.array(x, pa.int64()) for x in (fps, nodes, sizes)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, outlines))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "key", "fp", "node", "n", "bands", "outline"])
 
     text = column(text_col).cast("string")
     rows = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, node long, n long, bands array<long>")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, node long, n long, bands array<long>, outline array<long>")
 
 
 def _shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -226,7 +239,48 @@ def _similar_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: flo
         return (o["root"] != F.col("root")) & (F.least(F.col("n"), o["n"]) >= F.lit(similarity) * F.greatest(F.col("n"), o["n"]))
 
     met = filed.withColumn("before", before).withColumn("before", F.filter("before", possible)).where("size(before) > 0").select("node", "n", F.explode("before").alias("o"))
-    pairs = cut(met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), (F.col("n") + F.col("o.n")).alias("both")).distinct())
+    pairs = met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), (F.col("n") + F.col("o.n")).alias("both"))
+    return _verified(docs, sets, pairs, similarity, text_col, shingle)
+
+
+def _crowded_pairs(docs: DataFrame, sets: DataFrame, similarity: float, text_col: str, shingle: int) -> DataFrame | None:
+    """(a, b): what _similar_pairs leaves out: the pairs of sets (node, key, n, bands, outline, root) of different
+    roots in bands of more than NEIGHBOURS + 1 sets. None if each such band is of one root by now.
+
+    In such a band the sets of the most frequent root are not compared with each other, and all others are
+    compared with all. Sizes and outlines bound the similarity from above, so that few pairs become rows. The sets
+    of a band are dealt to classes of size and parts of PART_SETS, so that a large band is work for many tasks.
+    """
+    tally = sets.select("root", F.explode("bands").alias("band")).groupBy("band", "root").agg(F.count("*").alias("members"))
+    crowded = tally.groupBy("band").agg(F.sum("members").alias("members"), F.max_by("root", F.struct("members", "root")).alias("most"), F.count("*").alias("roots"))
+    crowded = cut(crowded.where((F.col("members") > NEIGHBOURS + 1) & (F.col("roots") > 1)).select("band", "most", F.ceil(F.col("members") / PART_SETS).cast("int").alias("parts")))
+    rows = crowded.count()
+    if not rows:
+        return None
+    some = F.broadcast(crowded) if rows <= BROADCAST_ROWS else crowded
+    # sets of a similarity that is asked for are of one class or of two next to each other
+    step = 1.001 * max(-math.log(similarity), 1e-6)
+    filed = cut(sets.select("node", "n", "root", "outline", F.explode("bands").alias("band")).join(some, "band").withColumn("class", F.floor(F.log("n") / step)))
+    one = filed.where("root != most").select(
+        "band", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"), F.struct("node", "n", "root", "outline").alias("x")
+    )
+    other = filed.select("band", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("root") == F.col("most")).alias("frequent"), F.struct("node", "n", "root", "outline").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    both = x["n"] + y["n"]
+
+    def only(p: Column, q: Column) -> Column:
+        # each bin of p's alone holds a shingle that q lacks
+        return sum((F.bit_count(p["outline"][k].bitwiseAND(F.bitwise_not(q["outline"][k]))) for k in range(OUTLINE)), F.lit(0))
+
+    at_most = F.least(x["n"] - only(x, y), y["n"] - only(y, x))
+    met = one.join(other, ["band", "class", "part"]).where((x["root"] != y["root"]) & (F.col("frequent") | (x["node"] < y["node"])) & (at_most >= F.lit(similarity) * (both - at_most)))
+    pairs = met.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), both.alias("both"))
+    return _verified(docs, sets, pairs, similarity, text_col, shingle)
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, both) whose sets are at least as similar as asked."""
+    pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     keys = cut(sets.select("key", "node").join(wanted, "node").select("key", "node"))
     full = cut(_shingle_sets(docs, keys, text_col, shingle))
@@ -241,19 +295,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hash of the text, and the rows of one id and text of a group stay.
 
     Candidates share a band of minima, and their sets are compared in full. In a band
-    of more than NEIGHBOURS texts each is compared with those next to it in the order of the next
-    band, in which similar texts are mostly equal too; every band has an order of its own.
+    of more than NEIGHBOURS texts each is first compared with those next to it in the order of the next
+    band, in which similar texts are mostly equal too; then, where a band still holds more than one
+    group, with all that are not of its group. So every pair that shares a band is compared, or is of one group already.
     """
     rows = cut(_sketches(docs, id_col, text_col, shingle))
-    sets = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    sets = cut(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("outline").alias("outline")))
     by_fp = components(links(sets, radius))
     rooted = sets.select("node", "fp").join(by_fp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     # of texts within the radius each is linked to the smallest
     lowest = rooted.groupBy("root").agg(F.min("node").alias("low"))
     roots = cut(rooted.join(lowest, "root").select("node", F.col("low").alias("root")))
     # first next neighbours only, so that large groups are one before more are compared
-    for width in (1, NEIGHBOURS):
-        found = _similar_pairs(docs, sets.join(roots, "node"), width, similarity, text_col, shingle)
+    for width in (1, NEIGHBOURS, None):
+        rooted = sets.join(roots, "node")
+        found = _similar_pairs(docs, rooted, width, similarity, text_col, shingle) if width else _crowded_pairs(docs, rooted, similarity, text_col, shingle)
+        if found is None:
+            break
         merged = components(found.union(roots.where("node != root")))
         roots = cut(sets.select("node").join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     nodes = cut(rows.select("id", "key", "node").join(roots, "node").select("id", "key", "root"))
