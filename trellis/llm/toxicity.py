@@ -50,6 +50,8 @@ MAX_POSTINGS = 120_000
 PREFIXES = (4, 5, 6, 7)
 K, BLOCK_ROWS, FIRST_BLOCKS, EPS, PRIOR = 15, 16, 16, 0.05, 0.5
 THRESHOLD = 0.7
+#: Bytes of text that are worked on at once (a longer text alone): a word has 1 + len(PREFIXES) terms, so memory is many times this.
+TEXT_BYTES = 1 << 20
 #: Texts whose result a task remembers, so that copies are searched for once.
 REMEMBERED = 20_000
 
@@ -61,20 +63,17 @@ def _term_rows(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, toxic): (term, clean, toxic) with the numbers of texts, summed for each batch."""
+    """From (text, toxic): (term, clean, toxic) with the numbers of texts, summed for each chunk of TEXT_BYTES."""
     for batch in batches:
         toxic = np.asarray(batch.column(1)).astype(bool)
-        terms, labels = [], []
-        for i, _, found in W.word_chunks(batch.column(0), W.ALNUM):
+        for i, _, found in W.word_chunks(batch.column(0), W.ALNUM, size=TEXT_BYTES):
             h, row = _term_rows(found)
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) & (h != 0) if len(h) else np.zeros(0, bool)
-            terms.append(h[new])
-            labels.append(toxic[i + row[new]])
-        if terms:
-            h, at = np.unique(np.concatenate(terms), return_inverse=True)
-            bad = np.bincount(at, weights=np.concatenate(labels), minlength=len(h)).astype(np.int64)
+            label = toxic[i + row[new]]
+            h, at = np.unique(h[new], return_inverse=True)
+            bad = np.bincount(at, weights=label, minlength=len(h)).astype(np.int64)
             every = np.bincount(at, minlength=len(h))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(every - bad), pa.array(bad)], ["term", "clean", "toxic"])
 
@@ -234,10 +233,12 @@ class Index:
 
 def vectors(found: W.Words, n: int, terms: W.HashSet, weights: np.ndarray) -> Vectors:
     """Weighed TF-IDF of length 1 over the kept terms, for each of n texts."""
-    h, row = _term_rows(found)
-    at = terms.find(h)
-    has = at >= 0
-    pairs, counts = np.unique(row[has].astype(np.int64) * max(len(terms.keys), 1) + at[has], return_counts=True)
+    held = []
+    for h in found.hashes(PREFIXES):
+        at = terms.find(h)
+        has = np.flatnonzero(at >= 0)
+        held.append(found.row[has].astype(np.int64) * max(len(terms.keys), 1) + at[has])
+    pairs, counts = np.unique(np.concatenate(held), return_counts=True)
     rows, cols = np.divmod(pairs, max(len(terms.keys), 1))
     w = (1 + np.log(counts)) * weights[cols]
     norm = np.sqrt(np.bincount(rows, weights=w**2, minlength=n))
@@ -287,7 +288,7 @@ def fit(examples: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int =
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in W.word_chunks(batch.column(1), W.ALNUM):
+            for i, j, found in W.word_chunks(batch.column(1), W.ALNUM, size=TEXT_BYTES):
                 made = vectors(found, j - i, terms, weights)
                 first = pa.array(made.first, pa.int32())
                 lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((made.terms, pa.int64()), (made.weights, pa.float64()))]
@@ -313,7 +314,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: i
 
 def _scores(model: Index, col: pa.Array, known: dict[bytes, tuple], keep: int | None = None) -> Iterator[tuple]:
     """What Index.score gives for each text, or the first `keep` of it; known remembers the results of vectors."""
-    for i, j, found in W.word_chunks(col, W.ALNUM):
+    for i, j, found in W.word_chunks(col, W.ALNUM, size=TEXT_BYTES):
         made = vectors(found, j - i, model.terms, model.weights)
         for r in range(len(made)):
             terms, weights = made.row(r)
