@@ -567,6 +567,25 @@ def test_pairs_far_apart_in_a_crowded_band_are_linked(spark, monkeypatch):
     assert calls[0].count() > 0
 
 
+def test_sets_less_similar_than_asked_make_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 5_000, 200)]
+    data = []
+    for k in range(120):  # all share 0.55 to 0.75 of the shingles, so most share bands; every third has a copy of 0.9
+        cut_at = int(rng.integers(0, 160))
+        text = base[:cut_at] + [f"x{k}-{j}" for j in range(int(rng.integers(18, 30)))] + base[cut_at + 30 :]
+        data.append((len(data), " ".join(text)))
+        if k % 3 == 0:
+            data.append((len(data), " ".join([*text[:-2], f"y{k}"])))
+    sets = [_shingles(t) for _, t in data]
+    alike = {(i, j) for j in range(len(data)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda docs, sets, pairs, *a: compared.append(pairs.distinct().count()) or verified(docs, sets, pairs, *a))
+    found = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(found[i] == found[j] for i, j in alike) and len(alike) >= 40
+    assert sum(compared) <= 10 * len(data)
+
+
 # ---- 9 quality
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -228,18 +228,49 @@ def _shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int)
     return arrow_map(texts.select("node", "text"), run, "node long, shingles array<long>")
 
 
-def _similar_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, text_col: str, shingle: int) -> DataFrame:
-    """(a, b): pairs of sets (node, key, n, bands, root) of different roots that share a band, at most
-    width apart in it, and are at least as similar as asked."""
-    filed = sets.select("node", "n", "root", F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.element_at("bands", (i + 1) % BANDS + 1).alias("next")))).alias("b")).select("node", "n", "root", "b.*")
-    before = F.collect_list(F.struct("node", "n", "root")).over(Window.partitionBy("band").orderBy("next", "node").rowsBetween(-width, -1))
+def _close_in_order(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, both) from rows (band, node, n, root, outline) in the order of bands: what _similar_pairs compares in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [np.asarray(batch.column(k)) for k in range(4)] + [np.asarray(batch.column(4).flatten()).view(np.uint64).reshape(-1, OUTLINE)]
+            done = len(kept[0]) if kept else 0
+            band, node, n, root, outline = kept = [np.concatenate(x) for x in zip(kept, rows, strict=True)] if kept else rows
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for back in range(1, width + 1):
+                j = np.arange(max(done, back), len(band))
+                i = j - back
+                same = band[i] == band[j]
+                if not same.any():
+                    break
+                # one set can't be so similar to one of another size
+                at = same & (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                i, j = i[at], j[at]
+                # each bin of one's alone holds a shingle that the other lacks
+                only = [np.bitwise_count(outline[x] & ~outline[y]).sum(axis=1, dtype=np.int64) for x, y in ((i, j), (j, i))]
+                at_most = np.minimum(n[i] - only[0], n[j] - only[1])
+                at = at_most >= similarity * (n[i] + n[j] - at_most)
+                found.append((i[at], j[at]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), n[i] + n[j])], ["a", "b", "both"])
+            kept = [x[-width:] for x in kept]
+
+    return run
 
-    def possible(o: Column) -> Column:
-        # one set can't be so similar to one of another size
-        return (o["root"] != F.col("root")) & (F.least(F.col("n"), o["n"]) >= F.lit(similarity) * F.greatest(F.col("n"), o["n"]))
 
-    met = filed.withColumn("before", before).withColumn("before", F.filter("before", possible)).where("size(before) > 0").select("node", "n", F.explode("before").alias("o"))
-    pairs = met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), (F.col("n") + F.col("o.n")).alias("both"))
+def _similar_pairs(docs: DataFrame, sets: DataFrame, width: int, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """(a, b): pairs of sets (node, key, n, bands, outline, root) of different roots that share a band, at most
+    width apart in it, and are at least as similar as asked.
+
+    Only bands of more than one root are ordered, and sizes and outlines bound the similarity from above before a pair
+    becomes a row, so that groups of sets that are somewhat similar, but less than asked, don't make rows by their square."""
+    mixed = sets.select("root", F.explode("bands").alias("band")).groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    mixed = cut(mixed)
+    some = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
+    filed = sets.select("node", "n", "root", "outline", F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.element_at("bands", (i + 1) % BANDS + 1).alias("next")))).alias("b")).select("node", "n", "root", "outline", "b.*")
+    ordered = filed.join(some, "band").repartition("band").sortWithinPartitions("band", "next", "node")
+    pairs = ordered.select("band", "node", "n", "root", "outline").mapInArrow(_close_in_order(width, similarity), "a long, b long, both long")
     return _verified(docs, sets, pairs, similarity, text_col, shingle)
 
 
