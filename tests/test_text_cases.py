@@ -130,6 +130,39 @@ def test_blocks_give_all_pairs(spark):
     assert {(r.query, r.id) for r in exact.collect()} == {(r.query, r.id) for r in found.collect()}
 
 
+def _vectors(spark, n, seed, dims=6):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(n, dims)).astype(np.float32)
+    m[n // 2 : n // 2 + 25] = m[0]  # one vector many times
+    u = m.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(f"v{k:03d}", [float(x) for x in r], k) for k, r in enumerate(m)], "id string, embedding array<float>, k int")
+    return frame, np.round(u @ u.T, 6)
+
+
+def test_cells_are_searched_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(V, "LEAST_ROWS", 20)
+    v, sims = _vectors(spark, 200, 3)
+    found = V.CellIndex(v, 4).search(v.where("k % 5 = 0"), 7, 4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    expect = {(f"v{i:03d}", f"v{j:03d}", r + 1) for i in range(0, 200, 5) for r, j in enumerate(sorted((j for j in range(200) if j != i), key=lambda j: (-sims[i, j], j))[:7])}
+    assert {(r.query, r.id, r["rank"]) for r in found.collect()} == expect == {(r.query, r.id, r["rank"]) for r in V.nearest_of_many(v, v.where("k % 5 = 0"), 7).collect()}
+
+
+def test_similarity_edges_keep_the_best_of_each_end(spark, monkeypatch):
+    monkeypatch.setattr(V, "similar_pairs", lambda *a, **b: pytest.fail("all pairs become rows"))
+    monkeypatch.setattr(V, "LEAST_ROWS", 20)
+    v, sims = _vectors(spark, 120, 5)
+    item, kin = [k % 4 != 0 for k in range(120)], [None if k % 6 == 0 else f"p{k % 7}" for k in range(120)]
+    more = spark.createDataFrame([(f"v{k:03d}", item[k], kin[k]) for k in range(120)], "id string, is_item boolean, parent_id string")
+    expect = set()
+    for i in range(120):
+        fit = [j for j in range(120) if j != i and (sims[i, j] >= 0.5 or (sims[i, j] >= 0.3 and not item[i] and not item[j]))]
+        best = sorted(fit, key=lambda j: (-round(sims[i, j] + (0.2 if kin[i] and kin[i] == kin[j] else 0.0), 6), j))[:4]
+        expect |= {(f"v{min(i, j):03d}", f"v{max(i, j):03d}", float(sims[i, j])) for j in best}
+    assert {(r.source_id, r.target_id, r.weight) for r in V.semantic_edges(v.join(more, "id"), 0.5, 4).collect()} == expect
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"uuid": "u", "name": "n", "created_at": "2024", "chat_messages": [{"uuid": "m", "sender": "human", "text": "q", "created_at": ""}, {"uuid": "m2", "sender": "assistant", "text": "r", "created_at": ""}]}]))
     assert [(r.turn, r.role, r.text) for r in readers.chat_turns_a(spark, str(tmp_path / "a.json")).collect()] == [(0, "user", "q"), (1, "assistant", "r")]

@@ -7,10 +7,11 @@ block size and no pair is a row unless it passes the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ c = F.col
 BLOCK_ROWS = 2_000
 #: Rows that fit the coarse quantiser of the approximate index.
 SAMPLE_ROWS = 4_096
+#: Rows of a block on either side of a search, and blocks to which smaller tables are dealt, of so many rows at least.
+SEARCH_ROWS, SEARCH_PARTS, LEAST_ROWS = 16_384, 8, 500
+#: Rows of either side that are multiplied at once.
+ASK_ROWS, CHUNK_ROWS = 512, 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,6 +60,104 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _half_up(x: np.ndarray) -> np.ndarray:
+    """Six places, halves away from 0 as in SQL."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+
+def _code(asks: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of both sides as numbers; strings get a number each, and nulls one that equals nothing."""
+    if not pa.types.is_string(asks.type):
+        return np.asarray(asks), np.asarray(rows)
+    numbers: dict[str | None, int] = {}
+    code = lambda x, null: np.array([null if v is None else numbers.setdefault(v, len(numbers)) for v in x.to_pylist()], np.int64)
+    return code(asks, -1), code(rows, -2)
+
+
+def _best(asks: pa.Table, rows: pa.Table, k: int, rate: Callable, extra: tuple[str, ...], last_id: bool) -> tuple[np.ndarray, ...]:
+    """Positions of asks and rows with their similarity and score: for each ask the k rows of the highest scores."""
+    order = sorted(range(rows.num_rows), key=rows["id"].to_pylist().__getitem__, reverse=last_id)
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
+    asks = asks.combine_chunks()
+    q, r = _matrix(asks["embedding"].chunk(0)), _matrix(rows["embedding"].chunk(0))
+    coded = {x: _code(asks[x].chunk(0), rows[x].chunk(0)) for x in extra}
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(rows["id"].to_pylist()):
+        places.setdefault(x, []).append(j)
+    own = np.array([(i, j) for i, x in enumerate(asks["id"].to_pylist()) for j in places.get(x, ())], np.int64).reshape(-1, 2)
+    out = []
+    for at in range(0, len(q), ASK_ROWS):
+        block = slice(at, at + ASK_ROWS)
+        qs = {x: v[0][block] for x, v in coded.items()}
+        mine = own[(own[:, 0] >= at) & (own[:, 0] < at + ASK_ROWS)] - [at, 0]
+        n = len(q[block])
+        floor = np.full(n, -np.finfo(float).max)
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        for begin in range(0, len(r), CHUNK_ROWS):
+            chunk = slice(begin, begin + CHUNK_ROWS)
+            sims = q[block] @ r[chunk].T
+            # no score of a rounded similarity is above this by more than half a millionth
+            top = rate(sims + 1e-6, {x: v[:, None] for x, v in qs.items()}, {x: v[1][chunk][None, :] for x, v in coded.items()})
+            here = mine[(mine[:, 1] >= begin) & (mine[:, 1] < begin + CHUNK_ROWS)]
+            top[here[:, 0], here[:, 1] - begin] = -np.inf
+            least = floor
+            if not begin and top.shape[1] > k:
+                least = np.maximum(floor, np.partition(top, -k, axis=1)[:, -k] - 4e-6)
+            i, j = np.nonzero(top >= least[:, None] - 1e-6)
+            similarity = np.round(sims[i, j], 6)
+            score = _half_up(rate(similarity, {x: v[i] for x, v in qs.items()}, {x: v[1][chunk][j] for x, v in coded.items()}))
+            # rows come in the order in which ties are broken, so that only a higher score can replace one of k
+            good = score > floor[i]
+            kept = tuple(np.concatenate(x) for x in zip(kept, (i[good], j[good] + begin, similarity[good], score[good]), strict=True))
+            by = np.lexsort((kept[1], -kept[3], kept[0]))
+            kept = tuple(x[by] for x in kept)
+            starts = np.searchsorted(kept[0], np.arange(n))
+            place = np.arange(len(by)) - starts[kept[0]]
+            kept = tuple(x[place < k] for x in kept)
+            ends = np.flatnonzero(np.bincount(kept[0], minlength=n) >= k)
+            if len(ends):
+                last = np.searchsorted(kept[0], ends, side="right") - 1
+                floor[ends] = kept[3][last]
+        out.append((kept[0] + at, np.array(order, np.int64)[kept[1]] if len(kept[1]) else kept[1], kept[2], kept[3]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def best_matches(asks: DataFrame, rows: DataFrame, k: int, rate: Callable = lambda sims, q, r: sims, extra: tuple[str, ...] = (), by: str | None = None, last_id: bool = False) -> DataFrame:
+    """(query, id, similarity, score, rank), exact: for each of asks (id, embedding, extra...) the k of rows with other ids that
+    have the highest scores, of equal ones those of the smallest ids (with last_id: of the largest); with `by` only rows equal in that column.
+
+    rate(similarities, columns of asks, columns of rows) gives scores, -inf for what doesn't qualify, and may not
+    fall where a similarity rises; similarities and scores are of six places. Both sides are dealt to blocks of SEARCH_ROWS
+    rows, and a task compares two blocks as matrices and keeps the k best of each row: no more than k rows a block come out."""
+    both = ["id", "embedding", *extra]
+    pick = lambda df: df.select(*both, (c(by).cast("string") if by else F.lit("")).alias("by"))
+    asks, rows = pick(asks), pick(rows)
+
+    def parts(df: DataFrame) -> int:
+        n = df.groupBy("by").count().agg(F.max("count")).first()[0] or 0
+        return max(1, -(-n // SEARCH_ROWS), min(SEARCH_PARTS, n // LEAST_ROWS))
+
+    na, nr = parts(asks), parts(rows)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = asks.select(*both, "by", part(na).alias("lo"), each(nr).alias("hi"), F.lit(True).alias("asks"))
+    dealt = dealt.unionByName(rows.select(*both, "by", part(nr).alias("hi"), each(na).alias("lo"), F.lit(False).alias("asks")))
+
+    def best(table: pa.Table) -> pa.Table:
+        one, two = table.filter(table["asks"]), table.filter(pc.invert(table["asks"]))
+        if not one.num_rows or not two.num_rows:
+            i = j = np.zeros(0, np.int64)
+            similarity = score = np.zeros(0)
+        else:
+            i, j, similarity, score = _best(one, two, k, rate, extra, last_id)
+        return pa.table({"query": one["id"].take(pa.array(i)), "id": two["id"].take(pa.array(j)), "similarity": pa.array(similarity), "score": pa.array(score)})
+
+    found = dealt.groupBy("by", "lo", "hi").applyInArrow(best, "query string, id string, similarity double, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("id") if last_id else F.asc("id")))
+    return found.withColumn("rank", rank).where(c("rank") <= k)
+
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with a cosine (to six places) of at least threshold."""
     n = vectors.count()
@@ -87,13 +190,14 @@ def semantic_edges(nodes: DataFrame, threshold: float, k: int) -> DataFrame:
 
     A pair qualifies from the threshold on, two categories from 0.2 below. Ranking adds 0.2 for the same
     parent; a pair stays if it is among the k best of either end."""
-    pairs = similar_pairs(nodes.select("id", "embedding"), round(threshold - 0.2, 6))
-    n = nodes.select("id", "is_item", "parent_id")
-    p = pairs.join(n.select(c("id").alias("a"), c("is_item").alias("ia"), c("parent_id").alias("pa")), "a").join(n.select(c("id").alias("b"), c("is_item").alias("ib"), c("parent_id").alias("pb")), "b")
-    p = p.where((c("similarity") >= threshold) | (~c("ia") & ~c("ib")))
-    p = p.withColumn("rank", F.round(c("similarity") + F.when(c("pa") == c("pb"), 0.2).otherwise(0.0), 6))
-    ends = p.select(c("a").alias("node"), c("b").alias("other"), "a", "b", "similarity", "rank").unionByName(p.select(c("b").alias("node"), c("a").alias("other"), "a", "b", "similarity", "rank"))
-    best = ends.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rank"), "other"))).where(c("rn") <= k)
+    lower = round(threshold - 0.2, 6)
+
+    def rate(sims: np.ndarray, q: dict, r: dict) -> np.ndarray:
+        fits = (sims >= threshold) | ((sims >= lower) & ~q["is_item"] & ~r["is_item"])
+        return np.where(fits, sims + np.where(q["parent_id"] == r["parent_id"], 0.2, 0.0), -np.inf)
+
+    n = nodes.select("id", "embedding", "is_item", c("parent_id").cast("string").alias("parent_id"))
+    best = best_matches(n, n, k, rate, ("is_item", "parent_id")).select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity")
     best = best.select("a", "b", "similarity").distinct()
     return best.select(F.concat_ws("-", F.lit("semantic"), "a", "b").alias("id"), c("a").alias("source_id"), c("b").alias("target_id"), c("similarity").alias("weight"))
 
@@ -154,39 +258,10 @@ class CellIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query, id, similarity, rank): the k most similar rows in each query's nearest cells."""
-        q = self._file(queries, probes).select(c("id").alias("query"), c("embedding").alias("q"), "cell")
-        near = q.join(self.filed, "cell").where("query != id").select("query", "id", F.round(cosine(c("q"), c("embedding")), 6).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-        return near.withColumn("rank", rank).where(c("rank") <= k)
+        return best_matches(self._file(queries, probes), self.filed, k, by="cell").drop("score")
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, similarity, rank), exact: a stated set of queries against all rows. Each block of
     rows keeps the k best of each query before they meet."""
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    rows = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"))
-    asked = queries.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
-
-    def best(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        asks = np.asarray(table["asks"])
-        ids, m = np.array(table["id"].to_pylist(), object), _matrix(table["embedding"].chunk(0))
-        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: tuple[list, list, list] = ([], [], [])
-        for at in range(0, len(q), 512):
-            sims = np.round(m[q[at : at + 512]] @ m[r].T, 6)
-            for i, row in zip(q[at : at + 512], sims, strict=True):
-                order = sorted((j for j in np.argpartition(-row, min(k, len(row) - 1))[: k + 1] if ids[r[j]] != ids[i]), key=lambda j: (-row[j], ids[r[j]])) if len(row) <= k + 1 else None
-                if order is None:
-                    floor = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    order = sorted((j for j in np.flatnonzero(row >= floor) if ids[r[j]] != ids[i]), key=lambda j: (-row[j], ids[r[j]]))
-                for j in order[:k]:
-                    out[0].append(ids[i])
-                    out[1].append(ids[r[j]])
-                    out[2].append(float(row[j]))
-        return pa.table({"query": pa.array(out[0], pa.string()), "id": pa.array(out[1], pa.string()), "similarity": pa.array(out[2], pa.float64())})
-
-    found = rows.unionByName(asked).groupBy("block").applyInArrow(best, "query string, id string, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).where(c("rank") <= k)
+    return best_matches(queries, vectors, k).drop("score")
