@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from trellis.functions import classify as K
 from trellis.functions import text as X
 from trellis.operators import ingest as I
 from trellis.operators import vectors as V
+from trellis.plans.q_sources import associations
 from trellis.sources import exports, readers
 from trellis.streaming import incremental as S
 
@@ -163,6 +166,21 @@ def test_similarity_edges_keep_the_best_of_each_end(spark, monkeypatch):
     assert {(r.source_id, r.target_id, r.weight) for r in V.semantic_edges(v.join(more, "id"), 0.5, 4).collect()} == expect
 
 
+def test_associations_keep_one_idea_of_each_item(spark, monkeypatch):
+    monkeypatch.setattr(V, "similar_pairs", lambda *a, **b: pytest.fail("all pairs become rows"))
+    monkeypatch.setattr(V, "LEAST_ROWS", 10)
+    v, sims = _vectors(spark, 150, 4)
+    table = v.select(F.col("k").cast("long").alias("vec_id"), "embedding", F.lit(0).alias("label"))
+    expect = {}
+    for i in range(150):
+        scores = [(math.floor((0.7 * sims[i, j] + 0.3 / (1 + abs(i - j))) * 1e6 + 0.5) / 1e6, f"v-{j}") for j in range(0, 150, 3) if i % 3 and i % 5 == j % 5]
+        if scores and max(scores)[0] > 0.3:
+            expect[f"v-{i}"] = max(scores)
+    got = {r.id: (r.score, r.idea_id) for r in associations(SimpleNamespace(embeddings=table)).collect()}
+    assert got == expect and len(got) > 50
+    assert V._half_up(np.array([0.6959605, -0.6959605])).tolist() == [0.695961, -0.695961]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"uuid": "u", "name": "n", "created_at": "2024", "chat_messages": [{"uuid": "m", "sender": "human", "text": "q", "created_at": ""}, {"uuid": "m2", "sender": "assistant", "text": "r", "created_at": ""}]}]))
     assert [(r.turn, r.role, r.text) for r in readers.chat_turns_a(spark, str(tmp_path / "a.json")).collect()] == [(0, "user", "q"), (1, "assistant", "r")]

@@ -74,7 +74,7 @@ def _code(asks: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code(asks, -1), code(rows, -2)
 
 
-def _best(asks: pa.Table, rows: pa.Table, k: int, rate: Callable, extra: tuple[str, ...], last_id: bool) -> tuple[np.ndarray, ...]:
+def _best(asks: pa.Table, rows: pa.Table, k: int, rate: Callable, need: Callable | None, extra: tuple[str, ...], last_id: bool) -> tuple[np.ndarray, ...]:
     """Positions of asks and rows with their similarity and score: for each ask the k rows of the highest scores."""
     order = sorted(range(rows.num_rows), key=rows["id"].to_pylist().__getitem__, reverse=last_id)
     rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
@@ -96,14 +96,17 @@ def _best(asks: pa.Table, rows: pa.Table, k: int, rate: Callable, extra: tuple[s
         for begin in range(0, len(r), CHUNK_ROWS):
             chunk = slice(begin, begin + CHUNK_ROWS)
             sims = q[block] @ r[chunk].T
-            # no score of a rounded similarity is above this by more than half a millionth
-            top = rate(sims + 1e-6, {x: v[:, None] for x, v in qs.items()}, {x: v[1][chunk][None, :] for x, v in coded.items()})
             here = mine[(mine[:, 1] >= begin) & (mine[:, 1] < begin + CHUNK_ROWS)]
-            top[here[:, 0], here[:, 1] - begin] = -np.inf
-            least = floor
-            if not begin and top.shape[1] > k:
-                least = np.maximum(floor, np.partition(top, -k, axis=1)[:, -k] - 4e-6)
-            i, j = np.nonzero(top >= least[:, None] - 1e-6)
+            sims[here[:, 0], here[:, 1] - begin] = -np.inf
+            if begin and need:
+                i, j = np.nonzero(sims >= need(floor, qs)[:, None] - 2e-6)
+            else:
+                # no score of a rounded similarity is above this by more than half a millionth
+                top = rate(sims + 1e-6, {x: v[:, None] for x, v in qs.items()}, {x: v[1][chunk][None, :] for x, v in coded.items()})
+                least = floor
+                if not begin and top.shape[1] > k:
+                    least = np.maximum(floor, np.partition(top, -k, axis=1)[:, -k] - 4e-6)
+                i, j = np.nonzero(top >= least[:, None] - 1e-6)
             similarity = np.round(sims[i, j], 6)
             score = _half_up(rate(similarity, {x: v[i] for x, v in qs.items()}, {x: v[1][chunk][j] for x, v in coded.items()}))
             # rows come in the order in which ties are broken, so that only a higher score can replace one of k
@@ -122,13 +125,16 @@ def _best(asks: pa.Table, rows: pa.Table, k: int, rate: Callable, extra: tuple[s
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def best_matches(asks: DataFrame, rows: DataFrame, k: int, rate: Callable = lambda sims, q, r: sims, extra: tuple[str, ...] = (), by: str | None = None, last_id: bool = False) -> DataFrame:
+def best_matches(asks: DataFrame, rows: DataFrame, k: int, rate: Callable | None = None, need: Callable | None = None, extra: tuple[str, ...] = (), by: str | None = None, last_id: bool = False) -> DataFrame:
     """(query, id, similarity, score, rank), exact: for each of asks (id, embedding, extra...) the k of rows with other ids that
     have the highest scores, of equal ones those of the smallest ids (with last_id: of the largest); with `by` only rows equal in that column.
 
     rate(similarities, columns of asks, columns of rows) gives scores, -inf for what doesn't qualify, and may not
-    fall where a similarity rises; similarities and scores are of six places. Both sides are dealt to blocks of SEARCH_ROWS
+    fall where a similarity rises; similarities and scores are of six places; without it the similarity is the score.
+    need(scores to reach, columns of asks) may give the least similarities with which that can be. Both sides are dealt to blocks of SEARCH_ROWS
     rows, and a task compares two blocks as matrices and keeps the k best of each row: no more than k rows a block come out."""
+    if rate is None:
+        rate, need = lambda sims, q, r: sims, lambda floor, q: floor
     both = ["id", "embedding", *extra]
     pick = lambda df: df.select(*both, (c(by).cast("string") if by else F.lit("")).alias("by"))
     asks, rows = pick(asks), pick(rows)
@@ -149,7 +155,7 @@ def best_matches(asks: DataFrame, rows: DataFrame, k: int, rate: Callable = lamb
             i = j = np.zeros(0, np.int64)
             similarity = score = np.zeros(0)
         else:
-            i, j, similarity, score = _best(one, two, k, rate, extra, last_id)
+            i, j, similarity, score = _best(one, two, k, rate, need, extra, last_id)
         return pa.table({"query": one["id"].take(pa.array(i)), "id": two["id"].take(pa.array(j)), "similarity": pa.array(similarity), "score": pa.array(score)})
 
     found = dealt.groupBy("by", "lo", "hi").applyInArrow(best, "query string, id string, similarity double, score double")
@@ -197,7 +203,7 @@ def semantic_edges(nodes: DataFrame, threshold: float, k: int) -> DataFrame:
         return np.where(fits, sims + np.where(q["parent_id"] == r["parent_id"], 0.2, 0.0), -np.inf)
 
     n = nodes.select("id", "embedding", "is_item", c("parent_id").cast("string").alias("parent_id"))
-    best = best_matches(n, n, k, rate, ("is_item", "parent_id")).select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity")
+    best = best_matches(n, n, k, rate, lambda floor, q: np.maximum(floor - 0.2, np.where(q["is_item"], threshold, lower)), ("is_item", "parent_id")).select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity")
     best = best.select("a", "b", "similarity").distinct()
     return best.select(F.concat_ws("-", F.lit("semantic"), "a", "b").alias("id"), c("a").alias("source_id"), c("b").alias("target_id"), c("similarity").alias("weight"))
 

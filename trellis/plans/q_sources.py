@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
@@ -30,13 +31,13 @@ query("str_07_without_session", lambda t: t.visits.where("session_id != 's-3'").
 def associations(t):
     """VEC-11: code items take the idea of the same parent that is nearest in meaning and time, 0.7 to 0.3."""
     n = vectors(t).select("id", "embedding", (c("vec_id") % 5).alias("parent"), (c("vec_id") % 3 == 0).alias("idea"), (c("vec_id") * 3_600_000).alias("created_at"))
-    pairs = V.similar_pairs(n.select("id", "embedding"), -1.0).where("similarity > -0.5")
-    both = pairs.select(c("a").alias("id"), c("b").alias("idea_id"), "similarity").unionByName(pairs.select(c("b").alias("id"), c("a").alias("idea_id"), "similarity"))
-    item = n.where("not idea").select("id", "parent", c("created_at").alias("ta"))
-    idea = n.where("idea").select(c("id").alias("idea_id"), c("parent").alias("pb"), c("created_at").alias("tb"))
-    score = F.round(0.7 * c("similarity") + 0.3 / (1 + F.abs(c("ta") - c("tb")) / 3_600_000.0), 6)
-    s = both.join(item, "id").join(idea, "idea_id").where("parent = pb").withColumn("score", score).where("score > 0.3")
-    return s.groupBy("id").agg(F.max_by("idea_id", F.struct("score", "idea_id")).alias("idea_id"), F.max("score").alias("score"))
+
+    def rate(sims: np.ndarray, item: dict, idea: dict) -> np.ndarray:
+        score = 0.7 * sims + 0.3 / (1 + np.abs(item["created_at"] - idea["created_at"]) / 3_600_000.0)
+        return np.where(score > 0.3, score, -np.inf)
+
+    best = V.best_matches(n.where("not idea"), n.where("idea"), 1, rate, extra=("created_at",), by="parent", last_id=True)
+    return best.where("score > 0.3").select(c("query").alias("id"), c("id").alias("idea_id"), "score")
 
 
 query("vec_11_associations", associations, f"WITH {PAIRS}, s AS (SELECT x.id, y.id AS idea_id, round(0.7 * round(list_cosine_similarity(x.e, y.e), 6) + 0.3 / (1 + abs(x.vec_id - y.vec_id)::DOUBLE), 6) AS score FROM v x JOIN v y ON x.vec_id % 5 = y.vec_id % 5 AND x.vec_id % 3 <> 0 AND y.vec_id % 3 = 0) SELECT id, first(idea_id ORDER BY score DESC, idea_id DESC) AS idea_id, max(score) AS score FROM s WHERE score > 0.3 GROUP BY 1")
