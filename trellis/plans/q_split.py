@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy as H
 from ..operators import subdivision as S
 from ..sources import readers as P
-from .q_vectors import SEM, semantic, vectors, weighted
+from .q_vectors import SEM, vectors, weighted, weighted_and_config
 from .registry import query
 
 c = F.col
@@ -44,7 +44,7 @@ def gaps(t):
 
 query("tre_06_subdivided", lambda t: S.subdivide(by_label(t), weighted(t), 20))
 query("tre_08_subdivided_by_gaps", gaps)
-query("tre_12_valid_splits", lambda t: H.splits_of_groups(by_label(t), weighted(t), H.config_of(vectors(t), semantic(t))))
+query("tre_12_valid_splits", lambda t: H.splits_of_groups(by_label(t), *weighted_and_config(t)))
 
 TIES = SEM.format(t=0.3, k=10) + ", m AS (SELECT id, 'p-' || label % 2 AS parent, 'c-' || label AS child FROM v), e AS (SELECT a, b, similarity AS w FROM sem UNION ALL SELECT b, a, similarity FROM sem), br AS (SELECT parent, id FROM m JOIN (SELECT a AS id, max(w) AS most FROM e GROUP BY 1) USING (id) WHERE abs(most - 0.5::DOUBLE) < 0.1::DOUBLE), bc AS (SELECT DISTINCT br.parent, m.child, br.id FROM br JOIN e ON e.a = br.id JOIN m ON m.id = e.b AND m.parent = br.parent)"
 query("tre_13_bridges", lambda t: bridges(t, weighted(t)), f"WITH {TIES} SELECT parent, id FROM br")
