@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +212,35 @@ def test_small_group_is_a_leaf_and_clusters_split(spark):
     assert home.count() == 20
 
 
+def test_splits_of_many_edges_take_one_pass(spark):
+    # 500 triangles of heavy edges, light ones between: comparing each two of them by a scan of all edges takes hours
+    names = [f"n{k:05d}" for k in range(1500)]
+    e = [(names[3 * g + i], names[3 * g + j], 0.9) for g in range(500) for i, j in ((0, 1), (0, 2), (1, 2))]
+    e += [(names[k], names[(k + 7) % 1500], 0.4 + k % 5 / 100) for k in range(1500)]
+    cfg = H.TreeConfig(3, 0.02, 1.0, 0.001, 7, 0.3, 0.001)
+    began = time.monotonic()
+    (t, children), *_ = H.valid_splits(names, e, cfg, None)
+    assert t == 0.9 and children == [names[k : k + 3] for k in range(0, 1500, 3)]
+    assert all(H.cohesion(children[0], g, e) >= 1 for g in children[1:50])
+    _, split = H.split_group([*names, "z1", "z2"], [*e, ("n00000", "z1", 0.2), ("n00003", "z2", 0.2), ("n00004", "z2", 0.3)], cfg, 0, None)
+    assert split[0][-1] == "z1" and split[1][-1] == "z2" and len(split) == 500
+    assert time.monotonic() - began < 10
+    config, rows = H.TreeConfig(3, 0.02, 1.0, 0.001, 7, 0.3, 0.2), weighted(spark, *e)
+    member = nodes(spark, names).select("id", F.lit("g").alias("component"))
+    assert [(r.threshold, r.children, r.smallest, r.largest) for r in H.splits_of_groups(member, rows, config).where("threshold > 0.5").collect()] == [(0.9, 500, 3, 3)]
+
+
+def test_tree_queries_search_similarity_edges_once(spark, monkeypatch):
+    from trellis.operators import vectors as V
+    from trellis.plans import QUERIES
+
+    calls, edges = [], V.semantic_edges
+    monkeypatch.setattr(V, "semantic_edges", lambda *a: calls.append(1) or edges(*a))
+    for name in ("tre_12_valid_splits", "tre_14_adaptive_tree", "tre_15_rebuild"):
+        calls.clear()
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0 and len(calls) == 1
+
+
 def test_communities():
     pdf = pd.DataFrame([("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.9), ("d", "e", 0.9), ("e", "f", 0.9), ("d", "f", 0.9), ("c", "d", 0.1)], columns=["a", "b", "weight"])
     assert G.community_split(pdf) == [["a", "b", "c"], ["d", "e", "f"]]

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import abstracts as A
 from ..functions import classify as K
 from ..functions import text as X
@@ -17,7 +18,7 @@ from ..operators import relational as R
 from ..operators import trees as T
 from ..operators import vectors as V
 from .q_relational import CROSS
-from .q_vectors import E, SEM, semantic, vectors, weighted
+from .q_vectors import E, SEM, semantic, vectors, weighted, weighted_and_config
 from .registry import query
 from .views import AS_OF
 
@@ -100,9 +101,9 @@ query("tre_11_ratios", lambda t: t.nation.select("n_nationkey", H.ratio_of(c("n_
 
 def rebuilt(t):
     """TRE-15: similarity edges, configuration, adaptive tree, one parent each, orphans rescued; sizes of the categories."""
-    e = weighted(t)
+    e, config = weighted_and_config(t)
     v = vectors(t).select("id")
-    tree = H.adaptive_tree(v, e, H.config_of(v, semantic(t)))
+    tree = cut(H.adaptive_tree(v, e, config))
     home = H.parents_from_tree(tree.where("depth > 0"))
     orphans = v.join(home.select("id"), "id", "left_anti")
     rescued = H.rescue_orphans(orphans, home.select("id", c("parent_id").alias("category")), e)
